@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import leaks, near_duplicates, split
+from scriptorium.llm import leaks, near_duplicates, replies, split
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,9 @@ def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     """Test items by the number of documents that hold them."""
     found = leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("windows").alias("most_windows"))
+
+
+@query()
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs of question and reply."""
+    return replies.tag_pairs(table(spark, folder, "conversations")).filter("defect is not null").select("conv_id", "pair_no", "defect")
