@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import leaks, near_duplicates, replies, split
+from scriptorium.llm import leaks, mixing, near_duplicates, replies, split, toxicity
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,37 @@ def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Defective pairs of question and reply."""
     return replies.tag_pairs(table(spark, folder, "conversations")).filter("defect is not null").select("conv_id", "pair_no", "defect")
+
+
+@query()
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and actual shares of the mixture."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).report
+
+
+@query()
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture with their numbers of copies."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).documents
+
+
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+@query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual language."""
+    return _scored(spark, folder).filter("toxic").select("doc_id")
+
+
+@query()
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, folder)
+
+
+@query()
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxic documents by source."""
+    return toxicity.rates_by_source(_scored(spark, folder))
