@@ -34,7 +34,7 @@ class SplitSpec:
 PARAGRAPH, LINE, ITEM, SENTENCE, BLANK, INSIDE = range(6)
 _PATTERNS = (
     re.compile(r"\r?\n(?:[^\S\n]*\n)+"),
-    re.compile(r"\n|\r(?!\n)|[\x0b\x0c\x85  ]"),
+    re.compile(r"\n|\r(?!\n)|[\x0b\x0c\x85\u2028\u2029]"),
     re.compile(r"\s+(?=(?:[-*•–▪‣◦]|\(?\d{1,3}[.)]|\(?[a-z]\))\s)"),
     re.compile(r"[.!?…。！？][\"'”’»)\]*_]*\s+|[。！？]"),
     re.compile(r"\s+"),

@@ -41,7 +41,7 @@ class ToxicitySpec:
 
 # Digits and signs that stand for letters inside words.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e", "|": "l"}
-_HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*·]{1,2}[^\W\d_](?![^\W_])){2,}")
 _LEET_WORD = re.compile(r"(?:[^\W\d_][013457@$!€|]+(?=[^\W\d_])|(?<![^\W_])[@$](?=[^\W\d_]{2}))")
 _ENDS = re.compile(r"[.!?…;]+(?=\s|$)|\n")
