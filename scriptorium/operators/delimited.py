@@ -83,7 +83,7 @@ def _read(raw: list[str], names: list[str], separator: str) -> tuple[pa.Table, d
 
 def parse_header(raw: str, separator: str) -> list[str]:
     """Column names without byte-order mark and surrounding blanks; a blank last name is dropped."""
-    line = raw.removeprefix("﻿").strip("\r\n")
+    line = raw.removeprefix("\ufeff").strip("\r\n")
     # ``line`` may quote names like any record
     names = [(_unquote(f)).strip() for f in line.split(separator)] if '"' not in line else [x.strip() for x in _split(line, separator)]
     while names and not names[-1]:
