@@ -30,7 +30,7 @@ class ToxicitySpec:
     ``hash_bits`` the weights. A document whose score reaches ``threshold`` is toxic."""
 
     max_positive: int = 1500
-    max_unlabelled: int = 4000
+    max_unlabelled: int = 3000
     hash_bits: int = 18
     rounds: int = 5
     steps: int = 30
@@ -109,11 +109,11 @@ class Passages:
         word_bounds, triple_bounds, mask_bounds = (np.searchsorted(w, grid) for w in (passage, passage[of_word], passage[flags]))
         #: (feature ids in order of passages, bounds per passage)
         self.blocks = [
-            ((words >> shift).astype(np.int64), word_bounds),
-            ((pairs >> shift).astype(np.int64), word_bounds),
-            ((triples >> shift).astype(np.int64), triple_bounds),
-            ((masks >> shift).astype(np.int64), mask_bounds),
-            (np.full(len(flags), 1, np.int64), mask_bounds),
+            ((words >> shift).astype(np.int32), word_bounds),
+            ((pairs >> shift).astype(np.int32), word_bounds),
+            ((triples >> shift).astype(np.int32), triple_bounds),
+            ((masks >> shift).astype(np.int32), mask_bounds),
+            (np.full(len(flags), 1, np.int32), mask_bounds),
         ]
         self.count = n
         self.scale = 1 / np.sqrt(sum(np.diff(b) for _, b in self.blocks) + 8.0)
@@ -153,7 +153,7 @@ class Passages:
     def spread_texts(self, size: int) -> np.ndarray:
         """Per feature the number of texts that have it."""
         owner = self.text_of()
-        keys = np.unique(np.concatenate([np.repeat(owner, np.diff(b)) * size + i for i, b in self.blocks]))
+        keys = np.unique(np.concatenate([np.repeat(owner, np.diff(b)) * size + i.astype(np.int64) for i, b in self.blocks]))
         return np.bincount(keys % size, minlength=size)
 
     def margins(self, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -186,7 +186,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def valley(positive: np.ndarray, unlabelled: np.ndarray, width: float = 0.4) -> float:
     """Where, between the middle of the unlabelled and that of the positive documents, both together become nearly as rare as
-    they get: the first place with half more than the least density, as disguised toxic texts trail towards the others. 0
+    they get: the first place with at most 2.5 times the least density, as disguised toxic texts trail towards the others. 0
     if the two do not lie apart."""
     both = np.concatenate([positive, unlabelled])
     both = both[np.isfinite(both)]
@@ -195,7 +195,7 @@ def valley(positive: np.ndarray, unlabelled: np.ndarray, width: float = 0.4) ->
         return 0.0
     grid = np.linspace(low, high, 101)
     density = np.array([np.exp(-0.5 * ((both - g) / width) ** 2).sum() for g in grid])
-    return float(grid[np.flatnonzero(density <= 1.5 * density.min() + 1e-9)[0]])
+    return float(grid[np.flatnonzero(density <= 2.5 * density.min() + 1e-9)[0]])
 
 
 @dataclass
