@@ -9,8 +9,8 @@ from scriptorium.config import SETTINGS, Settings
 
 
 def manifest(rows: DataFrame, key: str, content: str) -> DataFrame:
-    """``key, hash``; of a key given several times the least hash, so that the result does not depend on order."""
-    return rows.groupBy(F.col(key).alias("key")).agg(F.min(F.md5(content)).alias("hash"))
+    """``key, hash``; of a key given several times the least hash, so that the result does not depend on order. Null content counts as empty."""
+    return rows.groupBy(F.col(key).alias("key")).agg(F.min(F.md5(F.coalesce(F.col(content), F.lit("")))).alias("hash"))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:

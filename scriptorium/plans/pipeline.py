@@ -1,4 +1,4 @@
-"""Question to context: the ordered stages over a batch of questions, one lazy plan."""
+"""Question to context: the ordered stages over a batch of questions. Candidates are written once between stages."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from scriptorium.config import SETTINGS, Settings
 from scriptorium.functions import text as T
 from scriptorium.operators import lexical, rank, resolve
 from scriptorium.operators.scorers import CoverageReranker, Reranker
+from scriptorium.session import settle
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,8 @@ def build_context(questions: DataFrame, corpus: Corpus, pack_on: bool = True, re
     chunks = corpus.chunks if pack_on else corpus.chunks.filter(~F.col("category").eqNullSafe(F.lit(s.pack_category)))
     chunks = chunks.withColumn("key", T.content_key(F.col("text")))
     asked = questions.select("qid", "text")
-    expanded = asked.withColumn("text", T.expand(F.col("text")))
+    # The chain of replacements would otherwise be copied into every filter that the optimiser infers.
+    expanded = settle(asked.withColumn("text", T.expand(F.col("text"))), "expanded")
     documents = chunks.select(F.col("chunk_id").alias("id"), "text")
     named = chunks.select(F.col("chunk_id").alias("id"), T.display_name(F.lit(None).cast("string"), F.col("breadcrumb")).alias("name"))
     found = lexical.lexical_search(documents, expanded, lexical.exact_names(named, expanded), s).select("qid", "id", F.col("sim").alias("cosine"))
@@ -39,7 +41,8 @@ def build_context(questions: DataFrame, corpus: Corpus, pack_on: bool = True, re
     of_unit = chunks.filter(F.col("category").isin(*s.unit_categories)).select(F.col("chunk_id").alias("id"), F.lower("unit_name").alias("name"))
     slices = units.join(of_unit, "name").select("qid", "id", F.lit(0.0).alias("cosine"))
     pool = found.withColumn("origin", F.lit("main")).unionByName(slices.withColumn("origin", F.lit("unit")))
-    rows = pool.join(chunks.withColumnRenamed("chunk_id", "id"), "id")
+    # Later stages read the candidates many times, so they are computed once.
+    rows = settle(pool, "candidates").join(chunks.withColumnRenamed("chunk_id", "id"), "id")
     if reranker is None:
         scored = rows.withColumn("rerank", F.lit(None).cast("double"))
     else:
@@ -50,9 +53,10 @@ def build_context(questions: DataFrame, corpus: Corpus, pack_on: bool = True, re
     score = rank.blended_score(F.col("rerank"), F.col("cosine"), F.col("category"), pack_on=pack_on, s=s)
     order = Window.partitionBy("qid").orderBy(F.desc("cosine"), "origin", "id")
     scored = scored.withColumn("score", F.round(score, 6)).withColumn("pos", F.row_number().over(order)).withColumn("unit", F.col("unit_name"))
+    scored = settle(scored, "scored")
     rules = scored.filter(F.col("category").isin(s.core_category, s.pack_category))
     reserved = rank.reserve_units(rank.first_per_key(scored.filter("origin = 'unit'")), s)
-    result = rank.assemble(reserved, rules, scored.filter("origin = 'main'"), s)
+    result = settle(rank.assemble(reserved, rules, scored.filter("origin = 'main'"), s), "assembled")
     detail = chunks.select(F.col("chunk_id").alias("id"), "text", "section_group", F.col("seq").cast("int").alias("seq"), F.coalesce(F.nullif("unit_name", F.lit("")), "category", F.lit("Rule")).alias("name"), F.coalesce("army", F.lit("")).alias("army"))
     placed = result.join(detail, "id")
     sequenced = placed.filter("section_group is not null and seq is not null").select("qid", F.col("section_group").alias("group"), "seq", "place")

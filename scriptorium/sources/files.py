@@ -25,7 +25,7 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
 
 def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """``stem, content`` of the Markdown files of a folder."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return rows.select(F.url_decode(F.regexp_replace(name, r"\.md$", "")).alias("stem"), F.col("value").alias("content"))
 
