@@ -228,6 +228,8 @@ class ToxicityModel:
             scores, others = p.margins(model.weights, model.bias), u.worst(u.margins(model.weights, model.bias))
             # The estimated share moves the bias; the boundary is put where documents are rarest.
             shift = valley(p.worst(scores), others)
+            # It stays below 0, so that a passage of unknown words alone is not toxic.
+            shift = max(shift, model.bias + 0.1)
             model.bias -= shift
             scores, others = scores - shift, others - shift
             # Raters judge a chosen sample, so the share of toxic verdicts is only a bound of the share among the rest.
@@ -270,7 +272,8 @@ class ToxicityModel:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         passages = Passages(texts, self.spec.hash_bits)
-        return _sigmoid(passages.worst(passages.margins(self.weights, self.bias)))
+        worst = passages.worst(passages.margins(self.weights, self.bias))
+        return np.where(np.isfinite(worst), _sigmoid(worst), 0.0)
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
