@@ -2,7 +2,7 @@
 
 Documents are scored by their worst passage. The classifier is linear over hashed words, word pairs and letter triples of a passage, after
 undoing common disguises. It is fitted in numpy on documents that raters agree to be toxic (positive) and on a bounded
-sample of the rest (unlabelled, so with some toxic ones among it): the risk of the unlabelled is corrected by the share of
+sample of the rest (unlabelled, so with some toxic ones among it); its boundary comes from all documents' scores: the risk of the unlabelled is corrected by the share of
 positives among them, and kept from going below zero. Which passages of a toxic document are the toxic ones is not
 labelled either; it is settled by alternating between choosing passages and fitting.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.arrow import bounded
 from scriptorium.functions.wordhash import code_points, mix, run_hashes
 from scriptorium.llm.mixing import normal_source
+from scriptorium.session import settle
 
 
 @dataclass(frozen=True)
@@ -184,20 +185,37 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def valley(positive: np.ndarray, unlabelled: np.ndarray, width: float = 0.4) -> float:
+#: The margins' histogram, the same for every table: a count of wordless texts, then bins of 0.1; the outer two hold what lies beyond.
+_LOW, _STEP, _BINS = -20.0, 0.1, 400
+_CENTRES = _LOW + _STEP * (np.arange(_BINS) + 0.5)
+
+
+def histogram(margins: np.ndarray) -> np.ndarray:
+    place = np.floor((np.where(np.isfinite(margins), margins, 0.0) - _LOW) / _STEP).clip(0, _BINS - 1).astype(np.int64) + 1
+    return np.bincount(np.where(np.isfinite(margins), place, 0), minlength=_BINS + 1)
+
+
+def valley(positive: np.ndarray, unlabelled: np.ndarray, share: float, width: float = 0.4) -> float:
     """Where, between the middle of the unlabelled and that of the positive documents, both together become nearly as rare as
     they get: the first place with at most 2.5 times the least density, as disguised toxic texts trail towards the others. 0
-    if the two do not lie apart."""
-    both = np.concatenate([positive, unlabelled])
-    both = both[np.isfinite(both)]
-    low, high = np.median(unlabelled[np.isfinite(unlabelled)]), np.median(positive[np.isfinite(positive)])
+    if the two do not lie apart. Both are histograms and are normalised, the positive one then to ``share``; how many of either there
+    are does not count."""
+    p, u = positive[1:], unlabelled[1:]
+    if not p.sum() or not u.sum():
+        return 0.0
+    p, u = p / p.sum(), u / u.sum()
+    low, high = (_CENTRES[np.searchsorted(np.cumsum(x), 0.5 - 1e-9)] for x in (u, p))
     if not low < high:
         return 0.0
     grid = np.linspace(low, high, 101)
-    density = np.array([np.exp(-0.5 * ((both - g) / width) ** 2).sum() for g in grid])
+    density = np.exp(-0.5 * ((_CENTRES - grid[:, None]) / width) ** 2) @ (share * p + u)
     return float(grid[np.flatnonzero(density <= 2.5 * density.min() + 1e-9)[0]])
 
 
+#: The histograms of the toxic and of the other documents' margins under a model.
+Census = Callable[["ToxicityModel"], tuple[np.ndarray, np.ndarray]]
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray
@@ -205,8 +223,9 @@ class ToxicityModel:
     spec: ToxicitySpec
 
     @staticmethod
-    def fit(positive: list[str], unlabelled: list[str], prior: float, spec: ToxicitySpec) -> ToxicityModel:
-        """``prior``: the most that the share of toxic documents among the unlabelled ones may be."""
+    def fit(positive: list[str], unlabelled: list[str], prior: float, spec: ToxicitySpec, census: Census | None = None) -> ToxicityModel:
+        """``prior``: the most that the share of toxic documents among the unlabelled ones may be. ``census`` gives the
+        histograms of the whole table, from which the last prior and the boundary come; without it they come from the texts."""
         p, u = Passages(positive, spec.hash_bits), Passages(unlabelled, spec.hash_bits)
         size = 1 << spec.hash_bits
         model = ToxicityModel(np.zeros(size), -10.0, spec)
@@ -226,14 +245,19 @@ class ToxicityModel:
             share = min(0.5, prior * (len(chosen) / max(1, len(positive))) * len(unlabelled) / u.count)
             model = model._descend(p.select(chosen), u, share, shared, spec.steps * (1 + 2 * last))
             scores, others = p.margins(model.weights, model.bias), u.worst(u.margins(model.weights, model.bias))
-            # The estimated share moves the bias; the boundary is put where documents are rarest.
-            shift = valley(p.worst(scores), others)
+            if census and round_no >= spec.rounds - 2:
+                counts = census(model)
+            else:
+                counts = histogram(p.worst(scores)), histogram(others)
+            # The estimated share moves the bias; the boundary is put where documents are rarest. The positive ones weigh as
+            # the least prior: by the estimated one, a boundary too low would raise the prior, which would lower it again.
+            shift = valley(*counts, verdicts / 5)
             # It stays below 0, so that a passage of unknown words alone is not toxic.
             shift = max(shift, model.bias + 0.1)
             model.bias -= shift
-            scores, others = scores - shift, others - shift
+            scores = scores - shift
             # Raters judge a chosen sample, so the share of toxic verdicts is only a bound of the share among the rest.
-            prior = min(verdicts, max(verdicts / 5, float((others > 0).mean())))
+            prior = min(verdicts, max(verdicts / 5, float(counts[1][1:][_CENTRES > shift].sum() / counts[1].sum())))
         return model
 
     def _choose(self, p: Passages, scores: np.ndarray, first: bool) -> np.ndarray:
@@ -287,9 +311,9 @@ def _least(rows: DataFrame, bound: int, seed: int) -> list[str]:
     return [r[0] for r in rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(bound).select("text").collect()]
 
 
-def fit_model(documents: DataFrame, labels: DataFrame, spec: ToxicitySpec) -> ToxicityModel:
+def fit_model(documents: DataFrame, labels: DataFrame, spec: ToxicitySpec, census: Census | None = None) -> ToxicityModel:
     """Fit on documents that raters find toxic and on a sample of the others. The class prior is the share of toxic
-    verdicts among the judged documents."""
+    verdicts among the judged documents, or less if ``census`` finds less."""
     judged = verdicts(labels)
     toxic, count = judged.agg(F.sum("toxic"), F.count("toxic")).first()
     prior = (toxic or 0) / count if count else 0.0
@@ -298,20 +322,48 @@ def fit_model(documents: DataFrame, labels: DataFrame, spec: ToxicitySpec) -> To
     ids = documents.filter("text is not null").select("doc_id").join(judged.filter("toxic = 1"), "doc_id", "left_anti")
     chosen = ids.orderBy(F.xxhash64(F.lit(spec.seed), "doc_id"), "doc_id").limit(spec.max_unlabelled)
     unlabelled = [r[0] for r in rows.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("doc_id").select("text").collect()]
-    return ToxicityModel.fit(positive, unlabelled, prior, spec)
+    return ToxicityModel.fit(positive, unlabelled, prior, spec, census)
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec()) -> DataFrame:
-    """``doc_id, source, score, toxic`` of every document, from its whole text. Null and wordless texts score 0. Without any
-    confirmed toxic document every score is about 0."""
-    model = documents.sparkSession.sparkContext.broadcast(fit_model(documents, labels, spec))
+def raw_margins(documents: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``doc_id, source, margin`` of every document by its worst passage, before the bias; null for wordless texts."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 1 << 20):
-            values = model.value.scores(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(values), pa.array(values >= spec.threshold)], ["doc_id", "source", "score", "toxic"])
+            passages = Passages(batch.column("text").to_pylist(), shared.value.spec.hash_bits)
+            worst = passages.worst(passages.margins(shared.value.weights, 0.0))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(worst, mask=~np.isfinite(worst))], ["doc_id", "source", "margin"])
+
+    return documents.select("doc_id", "source", "text").mapInArrow(score, "doc_id bigint, source string, margin double")
+
+
+def table_histograms(margins: DataFrame, labels: DataFrame, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """The histograms of all documents that raters find toxic, and of all others; at most some hundred rows reach the driver."""
+    toxic = verdicts(labels).filter("toxic = 1").select("doc_id", F.lit(1).alias("toxic"))
+    place = F.least(F.greatest(F.floor((F.col("margin") + F.lit(bias - _LOW)) / _STEP), F.lit(0)), F.lit(_BINS - 1)) + 1
+    rows = margins.join(toxic, "doc_id", "left").groupBy(F.coalesce("toxic", F.lit(0)).alias("toxic"), F.when(F.col("margin").isNull(), 0).otherwise(place).alias("place")).count()
+    out = np.zeros((2, _BINS + 1), np.int64)
+    for r in rows.collect():
+        out[r["toxic"], r["place"]] = r["count"]
+    return out[1], out[0]
 
-    return documents.select("doc_id", "source", "text").mapInArrow(score, "doc_id bigint, source string, score double, toxic boolean")
+
+def score_documents(documents: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec()) -> DataFrame:
+    """``doc_id, source, score, toxic`` of every document, from its whole text. Null and wordless texts score 0. Without any
+    confirmed toxic document every score is about 0. All documents are scored before the last fit, for the prior, and
+    after it, for the boundary; the margins of the second time are written, so the result needs no third."""
+    written: list[DataFrame] = []
+
+    def census(model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+        written[:] = [settle(raw_margins(documents, model), "margins")]
+        return table_histograms(written[0], labels, model.bias)
+
+    model = fit_model(documents, labels, spec, census)
+    margins = written[0] if written else raw_margins(documents, model)
+    z = F.least(F.greatest(F.col("margin") + F.lit(float(model.bias)), F.lit(-40.0)), F.lit(40.0))
+    scored = margins.select("doc_id", "source", F.coalesce(1 / (1 + F.exp(-z)), F.lit(0.0)).alias("score"))
+    return scored.withColumn("toxic", F.col("score") >= spec.threshold)
 
 
 def rates_by_source(scored: DataFrame, source: Column | None = None) -> DataFrame:

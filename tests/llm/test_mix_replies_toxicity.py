@@ -117,3 +117,24 @@ def test_scores_of_tables(spark):
     rates = {r.source: r for r in X.rates_by_source(scored).collect()}
     assert set(rates) == {"forum", None, "faq"} and sum(r.documents for r in rates.values()) == len(docs)
     assert X.score_documents(df, labels.limit(0)).filter("toxic").count() == 0 and X.score_documents(df.limit(0), labels).count() == 0
+
+
+def test_boundary_does_not_hang_on_sizes():
+    rng = np.random.default_rng(3)
+    # Two crowds with a long slope between them.
+    p, u = np.concatenate([rng.normal(3, 1, 400), rng.uniform(-3, 3, 200)]), np.concatenate([rng.normal(-5, 1, 3000), rng.uniform(-4, 3, 60)])
+    at = X.valley(X.histogram(p), X.histogram(u), 0.03)
+    assert -5 < at < 3 and at == X.valley(X.histogram(np.repeat(p, 10)), X.histogram(u), 0.03) == X.valley(X.histogram(p), X.histogram(np.repeat(u, 10)), 0.03)
+    assert X.histogram(np.array([-np.inf, -99.0, 99.0])).nonzero()[0].tolist() == [0, 1, 400]
+
+
+def test_boundary_and_prior_come_from_all_documents(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = list(enumerate(corpus(rng, 400, 0.2))) + [(900, (None, False))]
+    df = spark.createDataFrame([(i, t, "forum") for i, (t, _) in docs], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, int(y), "a") for i, (_, y) in docs[:200]], "doc_id bigint, toxic int, rater string")
+    seen, plain = [], X.valley
+    monkeypatch.setattr(X, "valley", lambda p, u, *rest: seen.append((int(np.sum(p)), int(np.sum(u)))) or plain(p, u, *rest))
+    X.score_documents(df, labels, X.ToxicitySpec(hash_bits=15, max_positive=20, max_unlabelled=60))
+    toxic = sum(y for _, (_, y) in docs[:200])
+    assert seen[-2:] == [(toxic, len(docs) - toxic)] * 2 and seen[0] == (20, 60)
