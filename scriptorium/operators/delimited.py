@@ -200,8 +200,9 @@ def parse_delivered(records: DataFrame, spec: DelimitedSpec, with_fields: bool =
     return joined.select("line_id", "batch_no", "line_no", "raw", "header").mapInArrow(parse, schema)
 
 
-def typed_rows(parsed: DataFrame, spec: DelimitedSpec, columns: list[str]) -> DataFrame:
-    """The valid rows with the given columns: flags as BOOLEAN, the others as strings, key columns trimmed."""
+def typed_rows(parsed: DataFrame, spec: DelimitedSpec, columns: list[str], others: str | None = None) -> DataFrame:
+    """The valid rows with the given columns: flags as BOOLEAN, the others as strings, key columns trimmed. The column named
+    ``others`` maps every further name of the record's header to its string."""
     out = [F.col("line_id")]
     for name in columns:
         value = F.try_element_at("fields", F.lit(name))
@@ -211,4 +212,6 @@ def typed_rows(parsed: DataFrame, spec: DelimitedSpec, columns: list[str]) -> Da
         elif name in spec.digits:
             value = trimmed
         out.append(value.alias(name))
+    if others:
+        out.append(F.map_filter("fields", lambda name, _: ~name.isin(columns)).alias(others))
     return parsed.filter(F.col("reason").isNull()).select(*out)

@@ -29,10 +29,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def p1_valid_datasheets(spark: SparkSession, folder: str) -> DataFrame:
-    """Valid rows of Datasheets.csv, typed."""
-    names = ["id", "name", "faction_id", "source_id", "role", "virtual"]
+    """Valid rows of Datasheets.csv, typed, with further columns of their header in the map ``others``."""
+    names = ["id", "name", "faction_id", "source_id", "role", "loadout", "transport", "leader_head", "leader_footer", "damaged_w", "damaged_description", "virtual"]
     parsed = delimited.parse_delivered(table(spark, folder, "datasheets_csv"), delimited.DATASHEETS)
-    return delimited.typed_rows(parsed, delimited.DATASHEETS, names)
+    return delimited.typed_rows(parsed, delimited.DATASHEETS, names, others="others")
 
 
 @query()

@@ -82,3 +82,18 @@ def test_many_headers_are_joined_by_salt(spark):
     right = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     small, salted = (join_small(left, right, ["k"], "left", max_rows=n).orderBy("id").collect() for n in (100, 3))
     assert small == salted and len(small) == 1000
+
+
+def test_valid_datasheets_keep_every_column(spark, tmp_path):
+    from scriptorium.plans.catalogue import QUERIES
+
+    names = ["id", "name", "faction_id", "source_id", "role", "loadout", "transport", "leader_head", "leader_footer", "damaged_w", "damaged_description", "virtual"]
+    cells = ["000000001", *(f" {n} " for n in names[1:])]
+    rows = [
+        (1, 1, 1, "|".join(names[::-1]) + "|", None, None), (2, 1, 2, "|".join(cells[::-1]) + "|", None, None),
+        (3, 2, 1, "|".join([*names, "legend", "link"]), None, None), (4, 2, 2, "|".join([*cells, "old", ""]), None, None),
+    ]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "datasheets_csv.parquet"))
+    got = {r.line_id: r for r in QUERIES["p1_valid_datasheets"](spark, str(tmp_path)).collect()}
+    assert [got[2][n] for n in names] == [got[4][n] for n in names] == cells
+    assert got[2].others == {} and got[4].others == {"legend": "old", "link": ""}
