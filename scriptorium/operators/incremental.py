@@ -36,6 +36,22 @@ def delete(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return target.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def consecutive(rows: DataFrame, number: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of every delivery but the last under the next number, and those of every delivery but the first. Numbers without
+    rows in between are empty deliveries; rows without a number belong to none."""
+    ends = F.broadcast(rows.agg(F.min(number).alias("__first"), F.max(number).alias("__last")))
+    both = rows.filter(F.col(number).isNotNull()).crossJoin(ends)
+    old, new = both.filter(F.col(number) < F.col("__last")), both.filter(F.col(number) > F.col("__first"))
+    return old.withColumn(number, (F.col(number) + 1).cast(rows.schema[number].dataType)).select(*rows.columns), new.select(*rows.columns)
+
+
+def fold(rows: DataFrame, number: str, key: str, value: str) -> DataFrame:
+    """``key, number, value``: what is left after the deliveries were upserted in the order of their numbers. Of a key given
+    several times in one delivery the greatest value counts."""
+    best = F.max(F.struct(number, value)).alias("__best")
+    return rows.filter(F.col(number).isNotNull()).groupBy(key).agg(best).select(key, F.col(f"__best.{number}"), F.col(f"__best.{value}"))
+
+
 class TooManyOrphans(RuntimeError):
     pass
 
@@ -52,6 +68,15 @@ def reconcile(live: DataFrame, valid: DataFrame, key: str, s: Settings = SETTING
     return delete(live, orphans, key)
 
 
+def reconcile_each(rows: DataFrame, number: str, key: str, s: Settings = SETTINGS) -> DataFrame:
+    """``number, key``: ``reconcile`` of every delivery with the next one, whose number the kept keys bear."""
+    live, valid = (side.select(number, key).distinct() for side in consecutive(rows.select(number, key), number))
+    same = (F.col("l." + number) == F.col("v." + number)) & F.col("l." + key).eqNullSafe(F.col("v." + key))
+    found = live.alias("l").join(valid.alias("v"), same, "left").select("l." + number, "l." + key, F.col("v." + number).isNull().alias("__gone"))
+    share = found.groupBy(number).agg((F.sum(F.col("__gone").cast("bigint")) > s.orphan_share_limit * F.count("*")).alias("__guarded"))
+    return found.join(F.broadcast(share), number).filter(~F.col("__gone") | F.col("__guarded")).select(number, key)
+
+
 def source_changed(old_hash: str | None, stamp: DataFrame, column: str) -> tuple[bool, str]:
     """Whether a one-row version table differs from the stored hash, and the new hash, to be stored once all went well."""
     new = stamp.agg(F.md5(F.coalesce(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "\n"), F.lit("")))).first()[0]

@@ -92,6 +92,38 @@ def upsert_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.upsert(old, new, "chunk_id")
 
 
+@query(
+    """WITH e AS (SELECT min(snapshot_no) AS lo, max(snapshot_no) AS hi FROM chunk_snapshots), m AS (SELECT snapshot_no AS no, chunk_id AS key, min(md5(coalesce(text, ''))) AS hash FROM chunk_snapshots WHERE snapshot_no IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT no + 1 AS no, key, hash FROM m, e WHERE no < hi), n AS (SELECT no, key, hash FROM m, e WHERE no > lo)
+SELECT coalesce(o.no, n.no)::INTEGER AS snapshot_no, coalesce(o.key, n.key) AS key, CASE WHEN n.no IS NULL THEN 'removed' WHEN o.hash = n.hash THEN 'skipped' ELSE 'written' END AS action FROM o FULL JOIN n ON o.no = n.no AND o.key IS NOT DISTINCT FROM n.key"""
+)
+def manifest_diff_each(spark: SparkSession, folder: str) -> DataFrame:
+    """What every delivery after the first makes one write, skip and remove."""
+    rows = table(spark, folder, "chunk_snapshots").select("snapshot_no", "chunk_id", "text")
+    old, new = (incremental.manifest(side.withColumn("key", F.struct("snapshot_no", "chunk_id")), "key", "text") for side in incremental.consecutive(rows, "snapshot_no"))
+    return incremental.manifest_diff(old, new).select("key.snapshot_no", F.col("key.chunk_id").alias("key"), "action")
+
+
+@query(
+    """WITH e AS (SELECT min(snapshot_no) AS lo, max(snapshot_no) AS hi FROM chunk_snapshots), d AS (SELECT DISTINCT snapshot_no AS no, chunk_id FROM chunk_snapshots WHERE snapshot_no IS NOT NULL),
+f AS (SELECT d.no + 1 AS no, chunk_id, NOT EXISTS (SELECT 1 FROM d b WHERE b.no = d.no + 1 AND b.chunk_id IS NOT DISTINCT FROM d.chunk_id) AS gone FROM d, e WHERE d.no < hi),
+g AS (SELECT no, count(*) FILTER (WHERE gone) > 0.4::DOUBLE * count(*) AS guarded FROM f GROUP BY no)
+SELECT f.no::INTEGER AS snapshot_no, chunk_id FROM f JOIN g ON f.no = g.no WHERE NOT gone OR guarded"""
+)
+def reconcile_each(spark: SparkSession, folder: str) -> DataFrame:
+    """Every delivery without chunks that the next one no longer has, unless too many are gone."""
+    return incremental.reconcile_each(table(spark, folder, "chunk_snapshots"), "snapshot_no", "chunk_id")
+
+
+@query(
+    """WITH l AS (SELECT chunk_id, max(snapshot_no) AS snapshot_no FROM chunk_snapshots WHERE snapshot_no IS NOT NULL GROUP BY 1)
+SELECT l.chunk_id, l.snapshot_no, max(c.text) AS text FROM l JOIN chunk_snapshots c ON c.snapshot_no = l.snapshot_no AND c.chunk_id IS NOT DISTINCT FROM l.chunk_id GROUP BY 1, 2"""
+)
+def upsert_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All deliveries upserted in order, with the number of the last that gave the chunk."""
+    return incremental.fold(table(spark, folder, "chunk_snapshots"), "snapshot_no", "chunk_id", "text")
+
+
 @query(f"SELECT unit_name, string_agg(DISTINCT army, ',' ORDER BY army) AS armies FROM {SQL_CHUNKS} WHERE unit_name <> '' AND army <> '' GROUP BY unit_name")
 def unit_army_map(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.unit_armies(_chunks(spark, folder)).select("unit_name", F.array_join("armies", ",").alias("armies"))

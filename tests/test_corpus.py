@@ -130,3 +130,17 @@ def test_pages(spark):
     assert [(r.url, r.slug) for r in rows] == [("u", "charge")]
     assert rows[0].text.split("\n")[:5] == ["Roll 6+ and move your models now.", "Unclosed paragraph with & sign here", "- first item", "- second item", "A | B"]
     assert rows[0].text.endswith("long enough to stay.")
+
+
+def test_every_delivery_counts(spark, tmp_path):
+    from scriptorium.plans.catalogue import QUERIES
+
+    deliveries = {1: "abcde", 2: "abcdf", 3: "af", 5: "ag"}  # from 2 to 3 more than the limit is gone; 4 is empty
+    rows = [(n, c, f"{c}{n // 3}") for n, cs in deliveries.items() for c in cs] + [(1, None, "x"), (2, None, "x"), (None, "z", "z")]
+    spark.createDataFrame(rows, "snapshot_no int, chunk_id string, text string").write.parquet(str(tmp_path / "chunk_snapshots.parquet"))
+    got = {name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("manifest_diff_each", "reconcile_each", "upsert_all")}
+    actions = {2: {"skipped": "abcd", "removed": "e", "written": "f"}, 3: {"written": "af", "removed": "bcd"}, 4: {"removed": "af"}, 5: {"written": "ag"}}
+    want = {(n, c, a) for n, by in actions.items() for a, cs in by.items() for c in cs}
+    assert got["manifest_diff_each"] == want | {(2, None, "skipped"), (3, None, "removed")}
+    assert got["reconcile_each"] == {(2, c) for c in "abcd"} | {(3, c) for c in "abcdf"} | {(2, None), (3, None)} | {(4, "a"), (4, "f")}
+    assert got["upsert_all"] == {("a", 5, "a1"), ("g", 5, "g1"), ("f", 3, "f1"), ("e", 1, "e0"), (None, 2, "x")} | {(c, 2, c + "0") for c in "bcd"}
