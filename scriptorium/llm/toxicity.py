@@ -44,7 +44,9 @@ class ToxicitySpec:
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e", "|": "l"}
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*·]{1,2}[^\W\d_](?![^\W_])){2,}")
-_LEET_WORD = re.compile(r"(?:[^\W\d_][013457@$!€|]+(?=[^\W\d_])|(?<![^\W_])[@$](?=[^\W\d_]{2}))")
+# It begins with the signs, which the engine can look for; what stands before them is tested next.
+_LEET_WORD = re.compile(r"[013457@$!€|](?:(?<=[^\W\d_].)[013457@$!€|]*(?=[^\W\d_])|(?<=[@$])(?<![^\W_].)(?=[^\W\d_]{2}))")
+_OTHER = re.compile("[^\x00-\x7f]+")
 _ENDS = re.compile(r"[.!?…;]+(?=\s|$)|\n")
 
 
@@ -54,9 +56,9 @@ def undisguise(text: str | None) -> str:
     t = (text or "").lower()
     if not t.isascii():
         t = _HIDDEN.sub("", t)
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        t = _OTHER.sub(lambda m: "".join(c for c in m.group() if not unicodedata.combining(c)), unicodedata.normalize("NFKD", t))
     t = _SPACED.sub(lambda m: re.sub(r"[\W_]", "", m.group()), t)
-    return _LEET_WORD.sub(lambda m: m.group()[0] * (m.group()[0].isalpha()) + "".join(LEET.get(c, c) for c in m.group()[m.group()[0].isalpha() :]), t)
+    return _LEET_WORD.sub(lambda m: "".join(LEET[c] for c in m.group()), t)
 
 
 class Passages:
