@@ -138,3 +138,7 @@ def test_boundary_and_prior_come_from_all_documents(spark, monkeypatch):
     X.score_documents(df, labels, X.ToxicitySpec(hash_bits=15, max_positive=20, max_unlabelled=60))
     toxic = sum(y for _, (_, y) in docs[:200])
     assert seen[-2:] == [(toxic, len(docs) - toxic)] * 2 and seen[0] == (20, 60)
+
+
+def test_sample_is_not_cut_for_memory():
+    assert (X.ToxicitySpec().max_positive, X.ToxicitySpec().max_unlabelled) == (1500, 4000)
