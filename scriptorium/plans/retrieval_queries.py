@@ -174,6 +174,20 @@ def parent_cap(spark: SparkSession, folder: str) -> DataFrame:
     return rank.cap_below_parents(seeds, pool).select("qid", "key", "override")
 
 
+@query(
+    f"""WITH {SQL_POOL},
+seeds AS (SELECT qid, key, cosine AS bridge, [(id - 1)::VARCHAR, (id + 1)::VARCHAR, (id + 2)::VARCHAR] AS parents, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, key) - 1 AS i FROM cand),
+f AS (SELECT s.qid, s.key, min(c.score) AS floor FROM (SELECT qid, key, unnest(parents) AS parent FROM seeds) s JOIN cand c ON c.qid = s.qid AND c.key = s.parent GROUP BY ALL)
+SELECT qid, key, round(floor - 0.02 - i * 0.001, 4) AS override FROM seeds LEFT JOIN f USING (qid, key)"""
+)
+def parent_cap_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows as seeds, kept below their weakest parent; the parents are the rows with neighbouring ids."""
+    pool = _pool(spark, folder)
+    parents = F.array(*[(F.col("id") + d).cast("string") for d in (-1, 1, 2)])
+    seeds = pool.select("qid", "key", F.col("cosine").alias("bridge"), parents.alias("parent_keys"))
+    return rank.cap_below_parents(seeds, pool).select("qid", "key", "override")
+
+
 @query(
     f"""WITH {SQL_DENSE.format(k=10)}, {SQL_LEXICAL.replace("toks AS (SELECT doc_id AS id", "toks AS (SELECT doc_id AS id", 1)},
 a AS (SELECT i.item_id AS qid, v.vec_id AS id, v.vec_id::VARCHAR AS key, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM eval_items i JOIN embeddings e ON e.vec_id = i.item_id, embeddings v WHERE v.vec_id <> e.vec_id),

@@ -87,3 +87,10 @@ def test_settings_reach_the_operators(spark):
     rows = [(1, "a", "u", 0.9, 0.1, 1), (1, "b", "u", 0.9, 0.9, 2)]
     df = spark.createDataFrame(rows, "qid int, id string, unit string, score double, cosine double, pos int")
     assert rank.reserve_units(df, Settings(unit_chunks_per_unit=1)).count() == 1
+
+
+def test_whole_pool_is_seeded(spark, data):
+    from scriptorium.plans.catalogue import QUERIES
+
+    most = QUERIES["parent_cap_all"](spark, data).groupBy("qid").count().agg(F.max("count")).first()[0]
+    assert most == Settings().rerank_candidates
