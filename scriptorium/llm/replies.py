@@ -2,17 +2,16 @@
 foreign or unfinished; what the tags cover decides the pair's defect.
 
 No pair comes labelled, so the tagger is trained on replies of a bounded sample of conversations, taken as answers unless
-all their clauses are worded like refusals, and on
-copies of them damaged in known ways: cut off, put behind or replaced by the question, swapped for a reply in another language,
-replaced by a refusal. Refusals are composed from the openings, cores and closings listed below.
+all their clauses are worded like refusals, and on copies of them damaged in known ways: cut off, put behind or replaced by
+the question, swapped for a reply in another language, replaced by a refusal. Refusals are composed from the openings, cores
+and closings listed below. Word rates of the languages, word frequencies of clauses and the ends of list items are counted
+over all pairs, in a table of fixed size.
 """
 
 from __future__ import annotations
 
 import random
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.arrow import bounded
-from scriptorium.llm.crf import ChainCRF, pad
-from scriptorium.llm.languages import LanguageModel
+from scriptorium.functions.wordhash import mix, words_of
+from scriptorium.llm.crf import ChainCRF, Sequences
+from scriptorium.llm.languages import BUCKETS, LANGUAGES, LanguageModel, buckets, by_text, cased_words, language_counts, leader
+from scriptorium.session import settle
 
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 #: What stands for no text once punctuation is gone.
@@ -54,11 +55,19 @@ REFUSALS = {
 }
 
 
+#: Words by which a clause speaks of its speaker, denies, and names what an adviser does.
+SPEAKER = "i my me myself ich mir mich mein meine meiner yo me mi mis conmigo je j m me moi mes mon".split()
+DENIAL = "not no cannot can't t won unable never nothing decline refuse outside forbid forbids rather nicht kein keine nichts nie ablehnen weigern verboten untersagt ungern no nunca negarme negar impiden prohibido imposible prefiero ne pas n jamais refuser interdit empêchent impossible préfère".split()
+ADVISING = "answer answers help rule ruling rulings judge say saying tell discuss discussing talk assist decide advise comment beantworten antworten antwort auskunft helfen sagen sprechen entscheiden responder respuesta ayudar ayudarte contestar hablar decidir opinar répondre réponse aider parler juger prononcer décider dire".split()
+
+
 @dataclass(frozen=True)
 class ReplySpec:
     """``train_conversations`` bounds the sample that the tagger is fitted on; ``hash_bits`` the features; ``min_foreign``
     is the share of a reply in another language from which it counts as such, ``min_refusal`` the share of refusing among
-    refusing and answering text. ``rounds``: fits, each on labels cleaned by the one before."""
+    refusing and answering text. ``rounds``: fits, each on labels cleaned by the one before. A reply can be foreign only if
+    another language leads by ``language_lead`` (natural logarithm) and by ``language_margin`` per known word, with two
+    words of its own at least; it can be an echo only if it holds half of the question's word pairs, or most of its words."""
 
     train_conversations: int = 700
     hash_bits: int = 15
@@ -66,11 +75,14 @@ class ReplySpec:
     rounds: int = 3
     min_refusal: float = 0.4
     min_foreign: float = 0.5
+    language_lead: float = 5.0
+    language_margin: float = 0.7
     seed: int = 11
 
 
 _CLAUSE = re.compile(r"[^\n]*?[.!?…](?:[\"'”’»)\]*_]+)?(?=\s)|[^\n]+")
 _MARKER = re.compile(r"\s*(?:[-*•–]|\(?\d{1,3}[.)])\s+")
+_WHOLE_LINE = re.compile(r"\s*(?:\*\*.*\*\*|#+ .*)\s*")
 _WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -80,7 +92,7 @@ def clauses(text: str) -> list[str]:
     for line in text.split("\n"):
         if not line.strip():
             continue
-        if _MARKER.match(line) or line.lstrip().startswith("|") or re.fullmatch(r"\s*(\*\*.*\*\*|#+ .*)\s*", line):
+        if _MARKER.match(line) or line.lstrip().startswith("|") or _WHOLE_LINE.fullmatch(line):
             out.append(line.strip())
         else:
             out += [c.strip() for c in _CLAUSE.findall(line) if c.strip()]
@@ -95,6 +107,7 @@ def _unclosed(text: str) -> bool:
     return any(text.count(a) > text.count(b) for a, b in (("(", ")"), ("[", "]"), ("{", "}"), ("«", "»"), ("“", "”")))
 
 
+ENDINGS = "proper cut item citation unclosed row open_row heading bare_marker open_mark symbol".split()
 OPEN_ENDS = {"unclosed", "open_row", "bare_marker", "open_mark", "cut"}
 _PROPER = re.compile(r"[.!?…][\"'”’»)\]*_]*$")
 
@@ -103,7 +116,7 @@ def ending(clause: str) -> str:
     """The form of a clause's end."""
     if _unclosed(clause):
         return "unclosed"
-    if re.search(r"\]$", clause):
+    if clause.endswith("]"):
         return "citation"
     if clause.startswith("|"):
         return "row" if clause.endswith("|") else "open_row"
@@ -122,48 +135,242 @@ def ending(clause: str) -> str:
     return "cut"
 
 
-def _bin(x: float) -> int:
-    return sum(x > b for b in (0.0, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95))
+ITEM_CELLS = 1 << 14
+
+
+def item_tokens(item: str) -> list[str]:
+    """A list item's tokens without its marker; digits are alike, and so are possessives."""
+    tokens = re.sub(r"\d", "#", _MARKER.sub("", item, count=1).lower()).split()
+    return ["'s" if t.endswith(("'s", "’s")) else t for t in tokens]
+
+
+def _item_cells(tokens: list[str]) -> np.ndarray:
+    values = np.array([hash_name(t) for t in tokens], np.uint64)
+    return (values % np.uint64(ITEM_CELLS)).astype(np.int64)
+
+
+def hash_name(name: str) -> int:
+    out = 0xCBF29CE484222325
+    for byte in name.encode("utf-8", "surrogatepass"):
+        out = (out ^ byte) * 0x100000001B3 % (1 << 64)
+    return out ^ (out >> 29)
+
+
+@dataclass
+class CorpusCounts:
+    """Counts over all pairs, of fixed size: ``words`` languages x buckets; ``clauses`` of replies that hold a word of each bucket, and
+    their ``total``; tokens of list items that another item follows, at their ``ends`` and ``inside`` them."""
+
+    words: np.ndarray
+    clauses: np.ndarray
+    total: int
+    ends: np.ndarray
+    inside: np.ndarray
+
+    @staticmethod
+    def zeros() -> CorpusCounts:
+        return CorpusCounts(np.zeros((len(LANGUAGES), BUCKETS), np.int64), np.zeros(BUCKETS, np.int64), 0, np.zeros(ITEM_CELLS, np.int64), np.zeros(ITEM_CELLS, np.int64))
+
+    def add(self, pairs: list[tuple[str | None, str | None]]) -> CorpusCounts:
+        texts = [t for p in pairs for t in p if t]
+        self.words += language_counts(cased_words(texts), len(texts))
+        parts = [clauses(a) for _, a in pairs if a and not is_empty(a)]
+        flat = [c for p in parts for c in p]
+        words = words_of(flat)
+        cells = np.unique(words.text_of() * BUCKETS + buckets(words.hashes))
+        self.clauses += np.bincount(cells % BUCKETS, minlength=BUCKETS)
+        self.total += len(flat)
+        for p in parts:
+            for item, after in zip(p, p[1:]):
+                if _MARKER.match(item) and _MARKER.match(after) and (tokens := item_tokens(item)):
+                    cells = _item_cells(tokens)
+                    self.ends[cells[-1]] += 1
+                    np.add.at(self.inside, cells[:-1], 1)
+        return self
+
+    def cells(self) -> pa.RecordBatch:
+        """The counts other than 0 as ``cell, n``."""
+        flat = np.concatenate([self.words.reshape(-1), self.clauses, [self.total], self.ends, self.inside])
+        at = np.flatnonzero(flat)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["cell", "n"])
+
+    @staticmethod
+    def of(cells: pa.Table) -> CorpusCounts:
+        k = len(LANGUAGES) * BUCKETS
+        flat = np.zeros(k + BUCKETS + 1 + 2 * ITEM_CELLS, np.int64)
+        flat[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+        words, held, total, ends, inside = np.split(flat, [k, k + BUCKETS, k + BUCKETS + 1, k + BUCKETS + 1 + ITEM_CELLS])
+        return CorpusCounts(words.reshape(len(LANGUAGES), BUCKETS), held, int(total[0]), ends, inside)
+
+    def item_cut(self, item: str) -> bool:
+        """Whether a list item's last word stands inside other items and never at their end, or in no other at all. Only items followed
+        by others are counted, as these are whole. Few items tell nothing."""
+        tokens = item_tokens(item)
+        if not tokens or self.ends.sum() < 200:
+            return False
+        last = _item_cells(tokens[-1:])[0]
+        ends, inside = self.ends[last], self.inside[last]
+        if ends + inside == 0:
+            return tokens[-1].isalpha() and item.split()[-1].islower()
+        return ends * 50 < inside
+
+
+def word_set(words: list[str]) -> np.ndarray:
+    return np.unique(words_of(words).hashes)
+
+
+def _bins(x: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.array([0.0, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95]), x, side="left")
+
+
+def _rate(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return part / np.maximum(whole, 1)
+
+
+@dataclass
+class Features:
+    rows: Sequences
+    """Per position: ``rows``, ``barred`` labels, the share of words ``known`` from the question, and whether the clause speaks as a
+    refusal does without naming any fact (``declining``). Per pair: whether the reply is ``foreign``."""
+
+    rows: Sequences
+    barred: np.ndarray
+    known: np.ndarray
+    foreign: np.ndarray
+    declining: np.ndarray
 
 
 class Featurizer:
-    def __init__(self, model: LanguageModel, bits: int) -> None:
-        self.model, self.size = model, 1 << bits
-
-    def ids(self, question: str, parts: list[str]) -> np.ndarray:
-        asked = _norm(question)
-        pairs, singles = set(zip(asked, asked[1:])), set(asked)
-        asked_scores = self.model.scores(question)
-        spoken = max(asked_scores, key=asked_scores.get)
-        whole = self._language(" ".join(p for p in parts if _norm(p) != asked), spoken)
-        rows = []
-        for i, clause in enumerate(parts):
-            words = _norm(clause)
-            own = list(zip(words, words[1:]))
-            last = i == len(parts) - 1
-            echo = sum(p in pairs for p in own) / len(own) if own else 0.0
-            known = sum(w in singles for w in words) / len(words) if words else 0.0
-            names = [
-                "bias", f"last={last}", f"first={i == 0}", f"n={min(len(words), 6)}",
-                f"echo={_bin(echo)}", f"known={_bin(known)}", f"echo={_bin(echo)}&n={min(len(words), 4)}",
-                f"cover={_bin(len(set(own) & pairs) / len(pairs)) if pairs else 0}",
-                f"lang={self._language(clause, spoken)}", f"whole={whole}", f"lang&whole={self._language(clause, spoken)}&{whole}",
-            ]
-            end = ending(clause)
-            names += [f"end={end}&last={last}", f"open={end in OPEN_ENDS and last}", f"open={end in OPEN_ENDS}"]
-            if last and end == "item":
-                names.append(f"items={sum(bool(_MARKER.match(p)) for p in parts) > 1}")
-            text = ["<", *words, ">"]
-            names += [f"w={w}" for w in words] + [f"b={a} {b}" for a, b in zip(text, text[1:])]
-            rows.append([zlib.crc32(n.encode()) % (self.size - 1) + 1 for n in dict.fromkeys(names)])
-        width = max(map(len, rows))
-        return np.array([r + [0] * (width - len(r)) for r in rows], np.int64)
-
-    def _language(self, text: str, spoken: str) -> str:
-        scores = self.model.scores(text)
-        lead = max(scores.values()) - scores[spoken]
-        away = scores[spoken] - max(v for k, v in scores.items() if k != spoken)
-        return f"other{_bin(lead / 12)}" if lead > 0 else f"same{_bin(away / 12)}"
+    """Features of whole batches of pairs. Those of form have numbers of their own, words and pairs of words are hashed above."""
+
+    FORM = 1024
+
+    def __init__(self, counts: CorpusCounts, spec: ReplySpec) -> None:
+        self.counts, self.spec, self.size = counts, spec, 1 << spec.hash_bits
+        self.language = LanguageModel.of(counts.words)
+        rng = random.Random(spec.seed)
+        composed = words_of([c for k in REFUSALS for _ in range(150) for c in clauses(_refusal(rng, k))])
+        cells = np.unique(composed.text_of() * BUCKETS + buckets(composed.hashes))
+        refusing = np.bincount(cells % BUCKETS, minlength=BUCKETS) / max(1, len(composed.bounds) - 1)
+        # A word in under half a percent of the corpus's clauses says little by its absence from the composed refusals.
+        self.likeness = np.log((refusing + 0.005) / (counts.clauses / max(1, counts.total) + 0.005)).astype(np.float32)
+        self.lexicon = [word_set(x) for x in (SPEAKER, DENIAL, ADVISING)]
+
+    def like(self, parts: list[str]) -> np.ndarray:
+        """How much likelier each clause's words are in composed refusals than in the corpus: mean logarithm."""
+        words = words_of(parts)
+        return _rate(np.bincount(words.text_of(), self.likeness[buckets(words.hashes)], len(parts)), np.diff(words.bounds))
+
+    def of(self, questions: list[str], parts: list[list[str]]) -> Features:
+        """``parts``: the clauses of each reply, one at least."""
+        n = len(questions)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        flat = [c for p in parts for c in p]
+        m, pair = len(flat), np.repeat(np.arange(n), sizes)
+        cased = cased_words(questions + flat)
+        words, split = cased.words, int(cased.words.bounds[n])
+        owner, asker = cased.owner[split:] - n, cased.owner[:split]
+        length = np.diff(words.bounds)[n:]
+        salt = mix(np.arange(1, n + 1).astype(np.uint64))
+        asked = np.unique(words.hashes[:split] ^ salt[asker])
+        told = words.hashes[split:] ^ salt[pair[owner]]
+        in_question = np.isin(told, asked)
+        runs, start = words.shingles(2)
+        run_owner = cased.owner[start]
+        asked_runs, first_run = np.unique(runs[run_owner < n] ^ salt[run_owner[run_owner < n]], return_index=True)
+        per_question = np.bincount(run_owner[run_owner < n][first_run], minlength=n)
+        runs, run_owner = runs[run_owner >= n], run_owner[run_owner >= n] - n
+        told_runs = runs ^ salt[pair[run_owner]]
+        echoed = np.isin(told_runs, asked_runs)
+        runs_in = np.bincount(run_owner, minlength=m)
+        echo = _rate(np.bincount(run_owner, echoed, m), runs_in)
+        known = _rate(np.bincount(owner, in_question, m), length)
+        held_runs = np.bincount(_owners(told_runs[echoed], pair[run_owner[echoed]]), minlength=n)
+        held_words = np.bincount(_owners(told[in_question], pair[owner[in_question]]), minlength=n)
+        asked_words = np.bincount(_owners(words.hashes[:split] ^ salt[asker], asker), minlength=n)
+        cover = np.minimum(1, np.bincount(run_owner, echoed, m) / np.maximum(1, per_question)[pair])
+
+        # The language of each question and of what its reply says besides the question.
+        voice = self.language.words(cased)
+        spoken_scores = by_text(voice[:split], asker, n)
+        spoken, sure = leader(spoken_scores)
+        own = by_text(voice[split:], owner, m)
+        whole = by_text(own * (echo < 0.75)[:, None], pair, n)
+        spoken = np.where(sure > 0.5, spoken, whole.argmax(axis=1))
+        other, _ = leader(whole)
+        lead = whole.max(axis=1) - whole[np.arange(n), spoken]
+        told_voice = voice[split:] * (echo < 0.75)[owner][:, None]
+        telling = told_voice.min(axis=1) < -1
+        speakers = pair[owner]
+        support = np.bincount(speakers, told_voice[np.arange(len(owner)), other[speakers]] - told_voice[np.arange(len(owner)), spoken[speakers]] > 1, n)
+        foreign = (lead >= self.spec.language_lead) & (support >= 2) & (lead >= self.spec.language_margin * np.bincount(speakers, telling, n)) & (sure > 0.5)
+        clause_lead = _language_bin(own, spoken[pair])
+        whole_lead = _language_bin(whole, spoken)[pair]
+
+        last = np.zeros(m, np.int64)
+        last[bounds[1:] - 1] = 1
+        opening = np.zeros(m, np.int64)
+        opening[bounds[:-1]] = 1
+        end, is_open, items = (np.zeros(m, np.int64) for _ in range(3))
+        broken = np.zeros(m, bool)
+        for i, p in zip(bounds[1:] - 1, parts):
+            kind = ending(p[-1])
+            if kind == "item":
+                kind = "cut" if self.counts.item_cut(p[-1]) else kind
+                items[i] = 1 + (len(p) > 1 and bool(_MARKER.match(p[-2])))
+            end[i], is_open[i] = ENDINGS.index(kind) + 1, kind in OPEN_ENDS
+            broken[i] = is_open[i] and (kind != "cut" or length[i] > 3)  # a word or two may do without a full stop
+        spoken_of = [np.isin(words.hashes[split:], x) for x in self.lexicon]
+        has = [np.bincount(owner, x, m) > 0 for x in spoken_of]
+        speech = has[0] + 2 * has[1] + 4 * has[2]
+        digit = cased.digit[split:]
+        name = ~cased.plain[split:] & ~digit & ~np.any(spoken_of, axis=0)
+        facts = (np.bincount(owner, digit, m) > 0) + 2 * (np.bincount(owner, name, m) > 0)
+        likeness = _rate(np.bincount(owner, self.likeness[cased.bucket[split:]], m), length)
+        like = np.searchsorted([-1.5, -1.0, -0.6, -0.3, 0.0, 0.3, 0.6], likeness)
+        few = np.minimum(length, 6)
+        form = [
+            (np.zeros(m, np.int64), 1), (last, 2), (opening, 2), (few, 7), (_bins(echo), 8), (_bins(known), 8), (_bins(echo) * 5 + np.minimum(length, 4), 40), (_bins(cover), 8),
+            (clause_lead, 16), (whole_lead, 16), (clause_lead * 16 + whole_lead, 256), (end, 12), (is_open, 2), (items, 3), (speech, 8), (facts, 4), (speech * 4 + facts, 32), (like, 8), (like * 4 + facts, 32),
+        ]
+        ids, at = [], 0
+        for values, count in form:
+            ids.append(values + at)
+            at += count
+        shape = np.stack(ids, axis=1)
+        room = np.uint64(self.size - self.FORM)
+        firsts, lasts = np.flatnonzero(np.diff(owner, prepend=-1)), np.flatnonzero(np.diff(owner, append=m))
+        hashed = np.concatenate([words.hashes[split:], runs, mix(words.hashes[split:][firsts] + np.uint64(1)), mix(words.hashes[split:][lasts] + np.uint64(2))])
+        place = np.concatenate([owner, run_owner, owner[firsts], owner[lasts]])
+        cells = np.unique(place * self.size + self.FORM + (hashed % room).astype(np.int64))
+        all_ids = np.concatenate([shape.reshape(-1), cells % self.size])
+        all_places = np.concatenate([np.repeat(np.arange(m), shape.shape[1]), cells // self.size])
+        order = np.argsort(all_places, kind="stable")
+        ptr = np.concatenate([[0], np.cumsum(np.bincount(all_places, minlength=m))])
+
+        barred = np.zeros((m, 5), bool)
+        barred[:, UNFINISHED] = is_open == 0  # only a clause with an open end can be unfinished
+        barred[:, FOREIGN] = ~foreign[pair]
+        repeats = (held_runs >= 0.5 * np.maximum(1, per_question)) | (held_words >= 0.8 * np.maximum(1, asked_words))
+        barred[:, ECHO] = ~(repeats[pair] & ((known >= 0.5) | (length <= 3)))
+        # What breaks off, only gives back the question, or speaks another language throughout is no answer whatever its words.
+        barred[:, ANSWER] = broken | (repeats[pair] & (echo > 0.85) & (length > 3)) | (foreign[pair] & (clause_lead > 9))
+        return Features(Sequences(all_ids[order], ptr, bounds), barred, known, foreign, (speech == 7) & (facts == 0))
+
+
+def _owners(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The owner of each distinct key; equal keys have equal owners."""
+    return owner[np.unique(keys, return_index=True)[1]]
+
+
+def _language_bin(scores: np.ndarray, spoken: np.ndarray) -> np.ndarray:
+    """0-7: the spoken language leads by so much; 8-15: another one does."""
+    own = scores[np.arange(len(scores)), spoken]
+    rest = scores.copy()
+    rest[np.arange(len(scores)), spoken] = -np.inf
+    lead = rest.max(axis=1) - own
+    return np.where(lead > 0, 8 + _bins(lead / 12), _bins(-lead / 12))
 
 
 def is_empty(reply: str | None) -> bool:
@@ -184,6 +391,10 @@ def _refusal(rng: random.Random, language: str) -> str:
     return text.upper() if rng.random() < 0.08 else text
 
 
+#: What a reply puts before the question that it gives back.
+ECHO_LEADS = ["> ", '"', "Q: ", "Question: ", "You asked: ", "Your question was: ", "Frage: ", "Du fragst: ", "Pregunta: ", "Question posée : "]
+
+
 def _altered(rng: random.Random, question: str) -> str:
     """The question, perhaps slightly changed."""
     kind = rng.randrange(8)
@@ -198,70 +409,47 @@ def _altered(rng: random.Random, question: str) -> str:
     if kind == 3:
         return question.rstrip("?. ") + "."
     if kind == 4:
-        return rng.choice(["> {}", '"{}"', "**{}**", "Q: {}", "{} {}"]).format(question, question)
+        return f"**{question}**" if rng.random() < 0.5 else f"{question} {question}"
+    if kind == 5:
+        return rng.choice(ECHO_LEADS) + question
     return question
 
 
-class RefusalLikeness:
-    """How much more likely a clause's words are under composed refusals than under the sample: tells which replies of the
-    sample are no reliable answers."""
-
-    def __init__(self, pairs: list[tuple[str, str]], rng: random.Random) -> None:
-        composed = [_refusal(rng, k) for k in REFUSALS for _ in range(150)]
-        self.counts = []
-        for texts in (composed, [a for _, a in pairs]):
-            parts = [set(_norm(c)) for text in texts for c in clauses(text)]
-            self.counts.append((Counter(w for words in parts for w in words), max(1, len(parts))))
-
-    def like(self, clause: str) -> float:
-        """Mean log ratio of the clause's words. A word in under half a percent of the sample's clauses says little by its absence
-        from the composed refusals."""
-        (a, n), (b, m) = self.counts
-        words = set(_norm(clause))
-        return sum(np.log((a[w] / n + 0.005) / (b[w] / m + 0.005)) for w in words) / max(1, len(words))
-
-    def doubtful(self, reply: str) -> bool:
-        """Whether the reply may be a mere refusal, and so is no safe example of an answer."""
-        scores = [self.like(c) for c in clauses(reply)]
-        return len(_norm(reply)) > 2 and max(scores) > 0.2 and sum(scores) / len(scores) > -0.2
-
-
-def training_cases(good: list[tuple[str, str]], model: LanguageModel, rng: random.Random) -> list[tuple[str, list[str], list[int]]]:
+def training_cases(good: list[tuple[str, str]], features: Featurizer, rng: random.Random) -> list[tuple[str, list[str], list[int]]]:
     """(question, clauses, labels) from replies that hold no mere refusal: as they are, and damaged copies."""
-    languages = [model.best(a)[0] for _, a in good]
-    by_language = {k: [a for (_, a), l in zip(good, languages) if l == k] for k in model.names}
+    if not good:
+        return []
+    parts = [clauses(a) for _, a in good]
+    seen = features.of([q for q, _ in good], parts)
+    spoken, sure = leader(features.language.scores([q for q, _ in good]))
+    language, clear = leader(features.language.scores([a for _, a in good]))
+    by_language = [[a for (_, a), k, lead in zip(good, language, clear) if k == x and lead > 5] for x in range(len(LANGUAGES))]
     cases = []
-    for question, reply in good:
-        parts = clauses(reply)
-        asked = set(zip(_norm(question), _norm(question)[1:]))
-        labels = []
-        for i, clause in enumerate(parts):
-            own = list(zip(_norm(clause), _norm(clause)[1:]))
-            echo = sum(p in asked for p in own) / len(own) if len(own) > 2 else 0
-            cut = i == len(parts) - 1 and ending(clause) in OPEN_ENDS
-            labels.append(UNFINISHED if cut else ECHO if echo > 0.75 else ANSWER)
-        language, (_, lead) = model.best(question)[0], model.best(reply)
-        if model.best(reply)[0] not in (None, language) and lead > 6:
-            labels = [x if x == UNFINISHED else FOREIGN for x in labels]
-        cases.append((question, parts, labels))
+    for n, (question, reply) in enumerate(good):
+        span = slice(seen.rows.bounds[n], seen.rows.bounds[n + 1])
+        labels = np.where((seen.known[span] > 0.8) & ~seen.barred[span, ECHO], ECHO, FOREIGN if seen.foreign[n] else ANSWER)
+        if not seen.barred[span, UNFINISHED][-1]:
+            labels[-1] = UNFINISHED
+        labels = labels.tolist()
+        cases.append((question, parts[n], labels))
         draw = rng.random()
         if draw < 0.30:  # cut off
             at = rng.randrange(max(1, len(reply) // 3), max(2, len(reply)))
             short = clauses(reply[:at].rstrip() + rng.choice(["", "", "", ",", " and", " (", ":", " the"]))
             if short and ending(short[-1]) in OPEN_ENDS:
                 cases.append((question, short, [ANSWER] * (len(short) - 1) + [UNFINISHED]))
-        elif draw < 0.45:  # the question alone, or before the answer
+        elif draw < 0.55:  # the question alone, or before the answer
             echo = clauses(_altered(rng, question))
-            rest = parts if rng.random() < 0.4 else []
+            rest = parts[n] if rng.random() < 0.4 else []
             cases.append((question, echo + rest, [ECHO] * len(echo) + (labels if rest else [])))
-        elif draw < 0.60:  # in another language
-            others = [k for k in by_language if k != language and by_language[k]]
-            if others and language:
+        elif draw < 0.70:  # in another language
+            others = [k for k in range(len(LANGUAGES)) if k != spoken[n] and by_language[k]]
+            if others and sure[n] > 0.5:
                 foreign = clauses(rng.choice(by_language[rng.choice(others)]))
                 cut = ending(foreign[-1]) in OPEN_ENDS
                 cases.append((question, foreign, [FOREIGN] * (len(foreign) - cut) + [UNFINISHED] * cut))
-        elif draw < 0.85:
-            refusal = clauses(_refusal(rng, language or "en"))
+        elif draw < 0.90:
+            refusal = clauses(_refusal(rng, LANGUAGES[spoken[n]] if sure[n] > 0.5 else "en"))
             cases.append((question, refusal, [REFUSAL] * len(refusal)))
     return cases
 
@@ -273,41 +461,38 @@ class ReplyTagger:
     spec: ReplySpec
 
     @staticmethod
-    def train(pairs: list[tuple[str, str]], spec: ReplySpec) -> ReplyTagger:
-        rng = random.Random(spec.seed)
-        model = LanguageModel().train([t for p in pairs for t in p if t])
-        features = Featurizer(model, spec.hash_bits)
+    def train(pairs: list[tuple[str | None, str | None]], spec: ReplySpec, counts: CorpusCounts | None = None) -> ReplyTagger:
+        """``counts``: of all pairs, by default of those given."""
+        features = Featurizer(counts or CorpusCounts.zeros().add(pairs), spec)
         known = [(q, a) for q, a in pairs if a and q and not is_empty(a)]
-        likeness = RefusalLikeness(known, rng)
-        good = [(q, a) for q, a in known if not likeness.doubtful(a)]
+        safe = [not x for x in doubtful(features, known)]
+        good = [p for p, s in zip(known, safe) if s]
         refused: list[tuple[str, str]] = []
         tagger = ReplyTagger(features, ChainCRF.empty(features.size, 5), spec)
         for _ in range(spec.rounds):
-            cases = [c for c in training_cases(good, model, random.Random(spec.seed)) if c[1]]
+            rng = random.Random(spec.seed)
+            cases = [c for c in training_cases(good, features, rng) if c[1]]
             for language in REFUSALS:  # so that a small or one-sided sample knows them too
                 cases += [("", c, [REFUSAL] * len(c)) for c in (clauses(_refusal(rng, language)) for _ in range(120))]
             cases += [(q, c, [REFUSAL] * len(c)) for q, c in ((q, clauses(a)) for q, a in refused)]
-            tagger.crf = ChainCRF.empty(features.size, 5)
-            tagger.crf.fit([features.ids(q, c) for q, c, _ in cases], [np.array(x) for *_, x in cases], spec.epochs, seed=spec.seed)
+            seen = features.of([q for q, *_ in cases], [c for _, c, _ in cases])
+            tagger.crf = ChainCRF.empty(features.size, 5).fit(seen.rows, np.concatenate([x for *_, x in cases]), spec.epochs, seed=spec.seed)
             # What this fit takes for refusals among the sample's replies teaches the next their wording.
             tags = tagger.defects(known)
             refused = [p for p, d in zip(known, tags) if d == "refusal"]
-            good = [p for p, d in zip(known, tags) if d != "refusal" and not likeness.doubtful(p[1])]
+            good = [p for p, d, s in zip(known, tags, safe) if d != "refusal" and s]
         return tagger
 
     def defects(self, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
         out: list[str | None] = ["empty" if is_empty(a) else None for _, a in pairs]
         todo = [i for i, d in enumerate(out) if d is None]
-        parts = {i: clauses(pairs[i][1]) for i in todo}
-        for at in range(0, len(todo), 256):
-            rows = sorted(todo, key=lambda i: len(parts[i]))[at : at + 256]
-            ids, mask = pad([self.features.ids(pairs[i][0] or "", parts[i]) for i in rows])
-            # Only a clause with an open end can be unfinished.
-            barred = np.ones(mask.shape, bool)
-            for r, i in enumerate(rows):
-                barred[r, len(parts[i]) - 1] = ending(parts[i][-1]) not in OPEN_ENDS
-            for i, tags in zip(rows, self.crf.label(ids, mask, UNFINISHED, barred)):
-                out[i] = self.judge(parts[i], tags[: len(parts[i])].tolist())
+        if not todo:
+            return out
+        parts = [clauses(pairs[i][1]) for i in todo]
+        seen = self.features.of([pairs[i][0] or "" for i in todo], parts)
+        tags = self.crf.label(seen.rows, seen.barred)
+        for n, i in enumerate(todo):
+            out[i] = self.judge(parts[n], tags[seen.rows.bounds[n] : seen.rows.bounds[n + 1]].tolist())
         return out
 
     def judge(self, parts: list[str], tags: list[int]) -> str | None:
@@ -326,6 +511,21 @@ class ReplyTagger:
         return None
 
 
+def doubtful(features: Featurizer, pairs: list[tuple[str, str]]) -> list[bool]:
+    """Whether each reply may be a mere refusal, and so is no safe example of an answer."""
+    if not pairs:
+        return []
+    parts = [clauses(a) for _, a in pairs]
+    seen = features.of([q for q, _ in pairs], parts)
+    scores = features.like([c for p in parts for c in p])
+    out = []
+    for n, (_, reply) in enumerate(pairs):
+        own = scores[seen.rows.bounds[n] : seen.rows.bounds[n + 1]]
+        worded = len(_norm(reply)) > 2 and own.max() > 0.2 and own.mean() > -0.2
+        out.append(bool(worded or seen.declining[seen.rows.bounds[n] : seen.rows.bounds[n + 1]].any()))
+    return out
+
+
 def question_pairs(conversations: DataFrame) -> DataFrame:
     """``conv_id, pair_no, question, reply``: the n-th user message and the assistant message right after it. Of one id the
     row with the latest ``archived`` counts, of several the longest. Rows without an id, without messages or with unreadable
@@ -339,15 +539,28 @@ def question_pairs(conversations: DataFrame) -> DataFrame:
     return asked.select("conv_id", (F.col("pos") + 1).cast("int").alias("pair_no"), "t.question", "t.reply")
 
 
+def corpus_counts(pairs: DataFrame) -> CorpusCounts:
+    """The counts over all pairs. Each task sums its own; what reaches the driver is bounded by the size of the table."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = CorpusCounts.zeros()
+        for batch in bounded(batches, "reply"):
+            counts.add(list(zip(batch.column("question").to_pylist(), batch.column("reply").to_pylist())))
+        yield counts.cells()
+
+    cells = pairs.select("question", "reply").mapInArrow(count, "cell bigint, n bigint")
+    return CorpusCounts.of(cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
+
+
 def tag_pairs(conversations: DataFrame, spec: ReplySpec = ReplySpec()) -> DataFrame:
     """``conv_id, pair_no, question, reply, defect`` of every pair; ``defect`` is null or one of empty, truncated, refusal,
     copy, other_language. The tagger is fitted on the pairs of the ``spec.train_conversations`` conversations with the least
-    hash of their id; the tagging reads all pairs."""
+    hash of their id; the counts that it rests on and the tagging read all pairs."""
     spark = conversations.sparkSession
-    pairs = question_pairs(conversations)
-    chosen = conversations.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(spec.train_conversations)
-    sample = question_pairs(conversations.join(F.broadcast(chosen), "id", "left_semi")).orderBy("conv_id", "pair_no").select("question", "reply").collect()
-    tagger = spark.sparkContext.broadcast(ReplyTagger.train([tuple(r) for r in sample], spec))
+    pairs = settle(question_pairs(conversations), "reply_pairs")
+    chosen = pairs.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(spec.train_conversations)
+    sample = pairs.join(F.broadcast(chosen), "conv_id", "left_semi").orderBy("conv_id", "pair_no").select("question", "reply").collect()
+    tagger = spark.sparkContext.broadcast(ReplyTagger.train([tuple(r) for r in sample], spec, corpus_counts(pairs)))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "reply"):

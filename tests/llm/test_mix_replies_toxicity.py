@@ -142,3 +142,53 @@ def test_boundary_and_prior_come_from_all_documents(spark, monkeypatch):
 
 def test_sample_is_not_cut_for_memory():
     assert (X.ToxicitySpec().max_positive, X.ToxicitySpec().max_unlabelled) == (1500, 4000)
+
+
+def test_short_replies_are_not_foreign():
+    rng = random.Random(5)
+    ask = lambda i: f"Does unit number {i} hold the {rng.choice(['ford', 'gate', 'hill'])} once step {i % 7} is over, or only before?"
+    spanish = ["La torre no está lista para el asalto y los guardias esperan.", "Cuando el rival coloca una ficha, la torre pierde un punto.", "Los guardias no cruzan el vado durante la fase."]
+    train = [(ask(i), a) for i, a in enumerate(good_replies(rng, 300))] + [("¿Cuánto avanzan los guardias durante la fase de tiro?", rng.choice(spanish)) for _ in range(60)]
+    tagger = R.ReplyTagger.train(train, R.ReplySpec(epochs=3, rounds=1))
+    q = "Does unit number 7 hold the ford once step 3 is over, or only before?"
+    short = ["No.", "No, only once.", "Yes, both do.", "Si.", "2 tokens.", "No. In order:\n1. Check Reach\n2. Move 3 inches"]
+    assert "other_language" not in tagger.defects([(q, a) for a in short])
+    assert tagger.defects([(q, spanish[0]), (q, spanish[2])]) == ["other_language"] * 2
+
+
+def test_refusals_in_held_out_words(monkeypatch):
+    """Whole cores that the composed refusals lack are recognised by what they say; recall is stated in the README."""
+    cores = R.REFUSALS["en"][1]
+    held = cores[::3]
+    monkeypatch.setitem(R.REFUSALS, "en", (R.REFUSALS["en"][0], [c for c in cores if c not in held], R.REFUSALS["en"][2]))
+    rng = random.Random(9)
+    known = good_replies(rng, 300) + [f"{rng.choice(['Sorry, the words are clear.', 'I am not able to find any bar on this.', 'You cannot move it twice.'])} {a}" for a in good_replies(rng, 90)]
+    known += [f"I can't find a bar on rust tokens, so {n} of them may stay." for n in range(30)]
+    tagger = R.ReplyTagger.train([(f"May banner {i} cross the ford?", a) for i, a in enumerate(known)], R.ReplySpec(epochs=3, rounds=1))
+    got = tagger.defects([("May banner 9 cross the ford?", c[0].upper() + c[1:] + ".") for c in held])
+    assert got.count("refusal") >= 0.7 * len(held), [c for c, g in zip(held, got) if g != "refusal"]
+    calm = ["I can't see a limit in the text, so 10 of them are fine.", "You cannot use Early Covenant twice.", "Sorry, the text is plain here. The tall guard moves six inches."]
+    assert tagger.defects([("May banner 9 cross the ford?", a) for a in calm]) == [None] * 3
+
+
+def test_last_list_items_cut_off():
+    rng = random.Random(3)
+    item = lambda: rng.choice([f"- Check {rng.choice(['Reach', 'Guard'])}", f"- tall hook, {rng.randrange(2, 20)} inches", f"- Place one {rng.choice(['rust', 'smoke'])} token", f"- Guard {rng.randrange(2, 9)}+"])
+    counts = R.CorpusCounts.zeros().add([("q", "In order:\n" + "\n".join(item() for _ in range(5))) for _ in range(100)])
+    assert not any(counts.item_cut(item()) for _ in range(50))
+    assert all(counts.item_cut(x) for x in ("- Place one", "- Place one rust", "- tall hook, 9 inch", "- tall"))
+    assert not R.CorpusCounts.zeros().item_cut("- Place one")  # too few items to tell
+
+
+def test_defects_do_not_hang_on_the_sample(spark):
+    """Of five training samples none changes a defect's count by more than two percent of all defects."""
+    rows = R.question_pairs(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).select("conv_id", "question", "reply").collect()
+    pairs, ids = [(r.question, r.reply) for r in rows], sorted({r.conv_id for r in rows})
+    counts, seen = R.CorpusCounts.zeros().add(pairs), []
+    for s in range(5):
+        chosen = set(random.Random(s).sample(ids, len(ids) * 3 // 4))
+        tagger = R.ReplyTagger.train([p for p, r in zip(pairs, rows) if r.conv_id in chosen], R.ReplySpec(), counts)
+        got = tagger.defects(pairs)
+        seen.append({d: got.count(d) for d in ("empty", "truncated", "refusal", "copy", "other_language")})
+    total = max(sum(x.values()) for x in seen)
+    assert all(max(x[d] for x in seen) - min(x[d] for x in seen) <= max(1, 0.02 * total) for d in seen[0]), seen
