@@ -162,9 +162,9 @@ def test_refusals_in_held_out_words(monkeypatch):
     held = cores[::3]
     monkeypatch.setitem(R.REFUSALS, "en", (R.REFUSALS["en"][0], [c for c in cores if c not in held], R.REFUSALS["en"][2]))
     rng = random.Random(9)
-    known = good_replies(rng, 300) + [f"{rng.choice(['Sorry, the words are clear.', 'I am not able to find any bar on this.', 'You cannot move it twice.'])} {a}" for a in good_replies(rng, 90)]
+    known = good_replies(rng, 300) + [f"{rng.choice(['Sorry, the words are clear.', 'I am not able to find any bar on this.', 'You cannot play Slow Harvest twice.'])} {a}" for a in good_replies(rng, 90)]
     known += [f"I can't find a bar on rust tokens, so {n} of them may stay." for n in range(30)]
-    tagger = R.ReplyTagger.train([(f"May banner {i} cross the ford?", a) for i, a in enumerate(known)], R.ReplySpec(epochs=3, rounds=1))
+    tagger = R.ReplyTagger.train([(f"May banner {i} cross the ford?", a) for i, a in enumerate(known)], R.ReplySpec())
     got = tagger.defects([("May banner 9 cross the ford?", c[0].upper() + c[1:] + ".") for c in held])
     assert got.count("refusal") >= 0.7 * len(held), [c for c, g in zip(held, got) if g != "refusal"]
     calm = ["I can't see a limit in the text, so 10 of them are fine.", "You cannot use Early Covenant twice.", "Sorry, the text is plain here. The tall guard moves six inches."]
