@@ -167,7 +167,7 @@ def test_refusals_in_held_out_words(monkeypatch):
     tagger = R.ReplyTagger.train([(f"May banner {i} cross the ford?", a) for i, a in enumerate(known)], R.ReplySpec())
     got = tagger.defects([("May banner 9 cross the ford?", c[0].upper() + c[1:] + ".") for c in held])
     assert got.count("refusal") >= 0.7 * len(held), [c for c, g in zip(held, got) if g != "refusal"]
-    calm = ["I can't see a limit in the text, so 10 of them are fine.", "You cannot use Early Covenant twice.", "Sorry, the text is plain here. The tall guard moves six inches."]
+    calm = ["I can't see a limit in the text, so 10 of them are fine.", "You cannot use Early Covenant twice. The guard moves six inches.", "Sorry, the text is plain here. The tall guard moves six inches."]
     assert tagger.defects([("May banner 9 cross the ford?", a) for a in calm]) == [None] * 3
 
 
