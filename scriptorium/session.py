@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -39,7 +40,7 @@ def work_folder(spark: SparkSession) -> str:
     checkpoint folder, else a new temporary one (local sessions only)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has processes of its own
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.sparkContext.setCheckpointDir(root)
@@ -68,12 +69,46 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, outlives lost executors,
-    and keeps column pruning, which a checkpoint of rows would lose."""
+    and keeps column pruning, which a checkpoint of rows would lose. ``release`` deletes it before the driver ends."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled._settled_at = path
+    return settled
+
+
+def release(*settled: DataFrame | None) -> None:
+    """Delete settled tables that nothing will read any more."""
+    for df in settled:
+        path = getattr(df, "_settled_at", None)
+        if path:
+            remove_folder(df.sparkSession, path)
+
+
+#: Bounds of what may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 16 << 20
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About the size of a row in memory."""
+    total = F.lit(16)
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        elif "<" in kind:
+            total = total + 2 * F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 32
+        else:
+            total = total + 8
+    return total.cast("bigint")
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows of ``max_bytes`` together; reads no more rows than needed to tell."""
+    n, size = df.select(_row_bytes(df).alias("size")).limit(max_rows + 1).agg(F.count("*"), F.sum("size")).first()
+    return n <= max_rows and (size or 0) <= max_bytes
 
 
 def rows_within(df: DataFrame, bound: int) -> bool:
@@ -81,11 +116,11 @@ def rows_within(df: DataFrame, bound: int) -> bool:
     return df.select(F.lit(1).alias("one")).limit(bound + 1).count() <= bound
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", max_rows: int = 20_000, salts: int = 16) -> DataFrame:
-    """Join with a side that is usually small. Up to ``max_rows`` rows it is broadcast; beyond that the join is
+def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = 16, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a side that is usually small. Up to ``max_rows`` rows and ``max_bytes`` it is broadcast; beyond either the join is
     shuffled with the right side copied to ``salts`` salts, so that a hot key of the left side is spread.
-    ``how`` is inner, left or left_semi."""
-    if rows_within(right, max_rows):
+    ``how`` is inner, left or left_semi. ``right`` is evaluated twice: settle it first if it is costly."""
+    if fits_broadcast(right, max_rows, max_bytes):
         return left.join(F.broadcast(right), on, how)
     salt = "__salt"
     spread = left.withColumn(salt, spread_salt(salts))
@@ -93,6 +128,20 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return spread.join(copies, [*on, salt], how).drop(salt)
 
 
+def join_skewed(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot_rows: int = 100_000, salts: int = 16, hot: DataFrame | None = None) -> DataFrame:
+    """Join on one key that some rows of ``left`` may share by the million. Keys with more than ``hot_rows`` rows on the left are
+    salted there and copied on the right; all others are joined plainly. ``hot``: those keys, where they are known."""
+    if hot is None:
+        hot = left.groupBy(on).agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
+    hot = settle(hot.filter(F.col(on).isNotNull()).select(on, F.lit(True).alias("__hot")), "hot_keys")
+    if rows_within(hot, 0):
+        return left.join(right, on, how)
+    salt, none = "__salt", F.lit(0)
+    spread = join_small(left, hot, [on], "left").withColumn(salt, F.when(F.col("__hot"), spread_salt(salts)).otherwise(none)).drop("__hot")
+    copies = join_small(right, hot, [on], "left").withColumn(salt, F.explode(F.when(F.col("__hot"), F.array(*[F.lit(i) for i in range(salts)])).otherwise(F.array(none)))).drop("__hot")
+    return spread.join(copies, [on, salt], how).drop(salt)
+
+
 def spread_salt(salts: int) -> Column:
     """A salt from the row's place, the same again when a task is repeated."""
     return F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")

@@ -80,3 +80,17 @@ def test_scorers(spark):
     df = spark.createDataFrame([("deep strike", "a deep well"), ("", None)], "q string, t string")
     assert [r[0] for r in df.select(CoverageReranker().score(F.col("q"), F.col("t"))).collect()][0] == 0.0
     assert sum(df.select(HashedTerms(16).embed(F.col("q")).alias("v")).first().v) == 2.0
+
+
+def test_joins_with_small_and_skewed_sides(spark):
+    from pyspark.sql import functions as F
+
+    from scriptorium.session import fits_broadcast, join_skewed, join_small
+
+    left = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(500).select(F.col("id").alias("k"), F.repeat(F.lit("é"), 10).alias("t"))
+    want = sorted((r.k, r.v, r.t) for r in left.join(right, "k").collect())
+    for got in (join_skewed(left, right, "k", hot_rows=100), join_skewed(left, right, "k"), join_small(left, right, ["k"]), join_small(left, right, ["k"], max_bytes=100), join_small(left, right, ["k"], max_rows=10)):
+        assert sorted((r.k, r.v, r.t) for r in got.collect()) == want
+    assert join_skewed(left, right, "k", "left", hot_rows=100).count() == 3000
+    assert fits_broadcast(right) and not fits_broadcast(right, max_bytes=500 * 20) and not fits_broadcast(right, max_rows=499)
