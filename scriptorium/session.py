@@ -133,9 +133,10 @@ def join_skewed(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     salted there and copied on the right; all others are joined plainly. ``hot``: those keys, where they are known."""
     if hot is None:
         hot = left.groupBy(on).agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
-    hot = settle(hot.filter(F.col(on).isNotNull()).select(on, F.lit(True).alias("__hot")), "hot_keys")
+    hot = hot.filter(F.col(on).isNotNull()).select(on, F.lit(True).alias("__hot"))
     if rows_within(hot, 0):
         return left.join(right, on, how)
+    hot = settle(hot, "hot_keys")
     salt, none = "__salt", F.lit(0)
     spread = join_small(left, hot, [on], "left").withColumn(salt, F.when(F.col("__hot"), spread_salt(salts)).otherwise(none)).drop("__hot")
     copies = join_small(right, hot, [on], "left").withColumn(salt, F.explode(F.when(F.col("__hot"), F.array(*[F.lit(i) for i in range(salts)])).otherwise(F.array(none)))).drop("__hot")
