@@ -44,7 +44,7 @@ def p2_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The same for documents, on runs of five words and a similarity of 0.8."""
     rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("part"), F.col("text").alias("body"))
     found = near_duplicates.near_duplicates(rows, near_duplicates.NearDuplicateSpec())
-    return near_duplicates.labelled_members(found).select(F.col("id").cast("bigint").alias("doc_id"), "class_id", "group_id", "links")
+    return near_duplicates.labelled_members(found).select(F.col("id").cast("bigint").alias("doc_id"), "class_id", "group_id")
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import settle
+from scriptorium.session import release, settle
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     by its least node. Rows with a null end are left out; loops make single-node components. Raises if ``max_rounds``
     do not suffice (the steps need a logarithmic number)."""
     pairs = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter(F.col("u").isNotNull() & F.col("v").isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    nodes = settle(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
     links = settle(pairs.filter("u <> v").distinct(), "links")
     state = None
     for _ in range(max_rounds):
@@ -26,7 +26,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         large = both.join(_least_neighbour(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
         least = _least_neighbour(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
-        links = settle(small.filter("u <> v").distinct(), "links")
+        before, links = links, settle(small.filter("u <> v").distinct(), "links")
+        release(before)
         # The steps leave a set of stars unchanged: then every node points straight at its least one.
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == state:

@@ -1,10 +1,12 @@
 """Near-duplicate texts: one-permutation hashing with optimal densification, banded buckets, star-shaped candidate edges.
 
 Each text becomes the set of its distinct runs of ``k`` adjacent words. Texts with equal sets form one class and are
-handled once, so any number of exact copies costs one signature. Signatures come from a few one-permutation passes; an
+handled once, so any number of exact copies costs one signature. Signatures come from a one-permutation pass; an
 empty bin borrows from a bin chosen by a hash of its number and the attempt (optimal densification). Bands of the
 signature are bucket keys. In a bucket every class is linked only to one centre, another one in each bucket, so that a bucket
-of n classes gives n - 1 candidate pairs. Candidates are verified on the exact sets.
+of n classes gives n - 1 candidate pairs. Where a member is not similar to the centre, a bucket of a few classes is compared pair by
+pair; a larger one is split by a further signature value and linked to new centres, in a few rounds. Candidates whose signatures differ too much are dropped
+before any text is read; the rest is verified on the exact sets.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +24,37 @@ from pyspark.sql import functions as F
 from scriptorium.functions.arrow import bounded
 from scriptorium.functions.wordhash import mix, words_of
 from scriptorium.llm.components import components
-from scriptorium.session import settle
+from scriptorium.session import join_skewed, join_small, release, rows_within, settle
 
 
 @dataclass(frozen=True)
 class NearDuplicateSpec:
     """``shingle`` words per run, Jaccard ``threshold``, ``min_words`` below which a text takes no part. The signature has
-    ``passes`` x ``bins`` values in bands of ``rows``. With 2 x 120 values in 48 bands of 5 rows a pair of similarity 0.6
-    shares a bucket with probability 0.98, one of 0.7 with 0.9999; of 0.1, by accident, with 0.0005."""
+    ``bins`` values of 16 bits in bands of ``rows``. 120 values in 20 bands of 6 rows let a pair of similarity 0.8 share a bucket
+    with probability 0.998; 60 values in 20 bands of 3 do so for 0.6 with 0.994. A candidate is read only if its share of equal values is
+    within ``slack`` standard deviations of the threshold, which loses 3 in 100,000 pairs at the threshold itself. ``rounds`` of finer
+    buckets follow the first where a class is by its signature not similar to the centre, and buckets of up to ``small_bucket`` classes are then compared pair by pair. Groups of up to ``small_group`` classes are compared within pair by pair, larger ones through
+    the rarest runs of each text, which loses no pair either; ``hot_rows`` is the size from which a key is spread."""
 
     shingle: int = 5
     threshold: float = 0.8
     min_words: int = 5
-    passes: int = 2
     bins: int = 120
-    rows: int = 5
+    rows: int = 6
+    slack: float = 4.0
+    rounds: int = 1
+    small_group: int = 64
+    hot_rows: int = 100_000
+    small_bucket: int = 8
+
+    @property
+    def least_agreement(self) -> float:
+        t = self.threshold
+        return t - self.slack * sqrt(t * (1 - t) / self.bins)
 
 
 #: Rules text of chunks, as the task states it: word pairs and 0.6.
-CHUNK_SPEC = NearDuplicateSpec(shingle=2, threshold=0.6, min_words=20)
+CHUNK_SPEC = NearDuplicateSpec(shingle=2, threshold=0.6, min_words=20, bins=60, rows=3)
 
 
 def distinct_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,19 +99,6 @@ def one_permutation(hashes: np.ndarray, bounds: np.ndarray, bins: int, seed: int
     return out
 
 
-def band_keys(hashes: np.ndarray, bounds: np.ndarray, spec: NearDuplicateSpec, salt: np.ndarray) -> np.ndarray:
-    """Bucket keys, texts x bands; ``salt`` per text keeps the keys of different partitions (such as editions) apart."""
-    parts = []
-    for p in range(spec.passes):
-        values = one_permutation(hashes, bounds, spec.bins, p + 1)
-        for b in range(spec.bins // spec.rows):
-            key = salt + np.uint64(p * 1000 + b + 1)
-            for r in range(spec.rows):
-                key = mix(key * np.uint64(31) + values[:, b * spec.rows + r])
-            parts.append(key)
-    return np.stack(parts, axis=1)
-
-
 def name_hash(name: str | None) -> int:
     return int.from_bytes(hashlib.blake2b(repr(name).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -106,8 +108,9 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def signatures(rows: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
-    """``id, part, body`` -> ``id, part, node, bands, body`` of the texts long enough; ``node`` is a 64-bit hash of the part
-    and the shingle set, so texts of one part with equal sets share it."""
+    """``id, part, body`` -> ``id, part, node, body_key, signature`` of the texts long enough; ``node`` is a 64-bit hash of the part
+    and the shingle set, so texts of one part with equal sets share it; ``body_key`` a hash of the body, by which it is found
+    again; ``signature`` has two bytes per value."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: dict[str | None, int] = {}
@@ -121,96 +124,208 @@ def signatures(rows: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
             np.cumsum(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=prefix[1, 1:])
             sums = prefix[:, bounds[1:]] - prefix[:, bounds[:-1]]
             node = mix(mix(sums[0] ^ salt) + sums[1])
-            bands = band_keys(hashes, bounds, spec, mix(salt))
-            lists = _lists(np.ascontiguousarray(bands).reshape(-1), np.arange(len(texts) + 1) * bands.shape[1])
-            out = pa.table({"id": table["id"], "part": table["part"], "node": pa.array(node.view(np.int64)), "bands": lists, "body": table["body"]})
+            values = (one_permutation(hashes, bounds, spec.bins, 1) & np.uint64(0xFFFF)).astype(">u2")
+            out = pa.table({"id": table["id"], "part": table["part"], "node": pa.array(node.view(np.int64)), "body_key": table["body_key"], "signature": pa.array([v.tobytes() for v in values], pa.binary())})
             keep = pa.array((words >= spec.min_words) & (np.diff(bounds) > 0))
             yield from out.filter(keep).combine_chunks().to_batches()
 
-    return rows.select("id", "part", "body").mapInArrow(sign, "id string, part string, node bigint, bands array<bigint>, body string")
+    keyed = rows.select("id", "part", "body", F.xxhash64("body").alias("body_key"))
+    return keyed.mapInArrow(sign, "id string, part string, node bigint, body_key bigint, signature binary")
+
+
+def cells_of(classes: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
+    """``node, band, key``: the buckets of each class (``node, part, signature``)."""
+    bands = classes.select("node", "part", "signature", F.explode(F.sequence(F.lit(0), F.lit(spec.bins // spec.rows - 1))).alias("band"))
+    values = F.substring("signature", F.col("band") * (2 * spec.rows) + 1, F.lit(2 * spec.rows))
+    return bands.select("node", "band", F.xxhash64("part", "band", values).alias("key"))
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Distinct star edges ``a < b`` between classes (``node, bands``) that share a bucket."""
-    cells = classes.select("node", F.explode("bands").alias("key"))
+def _finer(cells: DataFrame, classes: DataFrame, spec: NearDuplicateSpec, turn: int) -> DataFrame:
+    """The cells in buckets split by one more signature value, of the band after next and so on."""
+    at = F.pmod((F.col("band") + 1 + turn) * spec.rows, F.lit(spec.bins)) * 2 + 1
+    value = F.substring("signature", at.cast("int"), F.lit(2))
+    return cells.join(classes.select("node", "signature"), "node").select("node", "band", F.xxhash64("key", value).alias("key"))
+
+
+def star_edges(cells: DataFrame, spec: NearDuplicateSpec) -> tuple[DataFrame, DataFrame]:
+    """``key, centre, n`` of the buckets with several classes, and ``node, key, centre``: each class of such a bucket but the centre
+    itself."""
     # node XOR key orders each bucket differently, so that no class is the centre everywhere.
-    stars = cells.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    edges = cells.join(stars, "key").withColumn("centre", F.col("centre").bitwiseXOR(F.col("key"))).filter("centre <> node")
-    return edges.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    stars = cells.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    stars = settle(stars, "stars")
+    joined = join_skewed(cells.select("node", "key"), stars.drop("n"), "key", hot=stars.filter(F.col("n") > spec.hot_rows), hot_rows=spec.hot_rows)
+    return stars, settle(joined.withColumn("centre", F.col("centre").bitwiseXOR(F.col("key"))).filter("centre <> node"), "star_edges")
+
 
+def _with_both(pairs: DataFrame, values: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
+    """``a, b, x, y``: settled pairs with the value (second column of ``values``) of either class. A centre with very many edges is spread."""
+    left, right = values.toDF("a", "x"), values.toDF("b", "y")
+    if rows_within(pairs, spec.hot_rows):  # no key can be hot
+        return pairs.join(left, "a").join(right, "b")
+    hot = {c: pairs.groupBy(c).agg(F.count("*").alias("n")).filter(F.col("n") > spec.hot_rows) for c in "ab"}
+    return join_skewed(join_skewed(pairs, left, "a", hot=hot["a"]), right, "b", hot=hot["b"])
 
-def _with_sets(classes: DataFrame, k: int) -> DataFrame:
-    """``node, body`` -> ``node, shingles``."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "body"):
-            hashes, bounds, _ = distinct_sets(batch.column("body").to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(hashes, bounds)], ["node", "shingles"])
+def agreements(pairs: DataFrame, classes: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
+    """``a, b, agreement`` of settled pairs: the share of equal values of their signatures, which estimates their similarity."""
 
-    return classes.select("node", "body").mapInArrow(build, "node bigint, shingles array<bigint>")
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).mean(axis=1))], ["a", "b", "agreement"])
 
+    return _with_both(pairs, classes.select("node", "signature"), spec).mapInArrow(agree, "a bigint, b bigint, agreement double")
 
-def jaccard(x: Column, y: Column) -> Column:
-    common = F.size(F.array_intersect(x, y))
-    return common / (F.size(x) + F.size(y) - common)
 
+def jaccards(x: list[str], y: list[str], k: int) -> np.ndarray:
+    """The exact similarity of the shingle sets of each two texts."""
+    n = len(x)
+    hashes, bounds, _ = distinct_sets([*x, *y], k)
+    sizes = np.diff(bounds)
+    owner = np.repeat(np.concatenate([np.arange(n), np.arange(n)]), sizes)
+    order = np.lexsort((hashes, owner))
+    h, o = hashes[order], owner[order]
+    twice = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
+    common = np.bincount(o[1:][twice], minlength=n)
+    return common / np.maximum(1, sizes[:n] + sizes[n:] - common)
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs ``a, b`` whose exact sets reach the threshold, with ``similarity``."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold - 1e-12)
+
+def verified(pairs: DataFrame, bodies: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
+    """Those of the pairs ``a, b`` whose exact sets reach the threshold, with ``similarity``; ``bodies``: node, body."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "x", 1 << 20):
+            if batch.num_rows:
+                similarity = jaccards(batch.column("x").to_pylist(), batch.column("y").to_pylist(), spec.shingle)
+                out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similarity)], ["a", "b", "similarity"])
+                yield out.filter(pa.array(similarity >= spec.threshold - 1e-12))
+
+    return _with_both(pairs, bodies.select("node", "body"), spec).mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
 @dataclass
 class NearDuplicates:
     """``members``: id, part, node (one row per id and class). ``groups``: node, component of the classes with a similar
-    other class. ``pairs``: a, b, similarity of similar classes of one group."""
+    other class. ``links``: a, b, similarity of verified star edges, which span the groups."""
 
     members: DataFrame
     groups: DataFrame
-    pairs: DataFrame
+    links: DataFrame
+    classes: DataFrame
+    rows: DataFrame
+    spec: NearDuplicateSpec
+
+    def bodies(self, nodes: DataFrame) -> DataFrame:
+        """``node, body`` of the given distinct ``node`` rows, read again from the source."""
+        return _bodies(self.rows, self.classes, nodes)
+
+    def pairs(self) -> DataFrame:
+        """All similar pairs ``a, b, similarity`` of classes of one group."""
+        return _pairs_within(self)
+
+
+def _bodies(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    keys = settle(classes.join(nodes, "node", "left_semi").select("node", "body_key"), "body_keys")
+    source = rows.filter(F.col("body").isNotNull()).select(F.xxhash64("body").alias("body_key"), "body")
+    # Keys are 16 bytes each: this many are broadcast so that the texts are not shuffled.
+    found = join_small(source, keys, ["body_key"], max_rows=300_000, max_bytes=12 << 20, salts=1)
+    return found.groupBy("node").agg(F.min("body").alias("body"))
 
 
 def near_duplicates(rows: DataFrame, spec: NearDuplicateSpec) -> NearDuplicates:
     """Similar texts among ``id, part, body`` rows; only texts of one ``part`` (null is a part of its own) are compared.
     Rows given twice count once; an id with several texts is in several classes. Null and short texts take no part.
-    An empty table gives empty results.
-
-    Similar classes end up in one group through verified star edges; within a group all pairs of classes are then
-    verified, which finds the pairs that met only at other centres.
+    An empty table gives empty results. Similar classes end up in one group through verified star edges.
     """
     signed = settle(signatures(rows, spec), "signatures")
     members = signed.select("id", "part", "node").distinct()
-    classes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
-    candidates = settle(candidate_edges(classes), "candidates")
-    needed = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bodies = signed.select("node", "body").join(needed, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
-    sets = settle(_with_sets(bodies, spec.shingle), "sets")
-    links = settle(verified(candidates, sets, spec.threshold), "verified")
+    classes = settle(signed.groupBy("node").agg(*(F.min(c).alias(c) for c in ("part", "signature", "body_key"))), "classes")
+    cells = settle(cells_of(classes, spec), "cells")
+    tried = extra = None
+    pair = (F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    for turn in range(spec.rounds + 1):
+        stars, edges = star_edges(cells, spec)
+        fresh = edges.select(*pair) if extra is None else edges.select(*pair).unionByName(extra)
+        fresh = settle(fresh.distinct() if tried is None else fresh.distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
+        scored = agreements(fresh, classes, spec)
+        before, tried = tried, settle(scored if tried is None else tried.unionByName(scored), "tried")
+        release(fresh, before)
+        if turn == spec.rounds:
+            break
+        # Buckets in which a class is not similar to the centre may hide pairs of the others.
+        failed = edges.select("key", *pair).join(tried.filter(F.col("agreement") < spec.threshold), ["a", "b"], "left_semi").select("key").distinct()
+        busy = settle(failed.join(stars.select("key", "n").filter("n > 2"), "key"), "busy")
+        if rows_within(busy, 0):
+            break
+        open_cells = settle(join_skewed(cells, busy, "key", hot=busy.filter(F.col("n") > spec.hot_rows)), "open_cells")
+        few = open_cells.filter(F.col("n") <= spec.small_bucket)
+        extra = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b")
+        before, cells = cells, settle(_finer(open_cells.filter(F.col("n") > spec.small_bucket), classes, spec, turn), "cells")
+        release(before, stars, edges)
+    likely = tried.filter(F.col("agreement") >= spec.least_agreement).select("a", "b")
+    bodies = settle(_bodies(rows, classes, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "bodies")
+    links = settle(verified(likely, bodies, spec), "verified")
+    release(bodies)
     groups = settle(components(links, "a", "b"), "groups")
-    left, right = groups.select("component", F.col("node").alias("a")), groups.select("component", F.col("node").alias("b"))
-    within = left.join(right, "component").filter("a < b").select("a", "b")
-    return NearDuplicates(members, groups, verified(within, sets, spec.threshold))
+    return NearDuplicates(members, groups, links, classes, rows, spec)
+
+
+def _pairs_within(found: NearDuplicates) -> DataFrame:
+    spec, groups = found.spec, found.groups
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    large = settle(sizes.filter(F.col("n") > spec.small_group).select("component"), "large_groups")
+    few = groups.join(sizes.filter(F.col("n") <= spec.small_group).select("component"), "component")
+    left, right = few.select("component", F.col("node").alias("a")), few.select("component", F.col("node").alias("b"))
+    pairs = left.join(right, "component").filter("a < b").select("a", "b")
+    bodies = settle(found.bodies(groups.select("node")), "group_bodies")
+    if not rows_within(large, 0):
+        many = groups.join(large, "component")
+        pairs = pairs.unionByName(_prefix_pairs(many.join(bodies, "node"), spec))
+    scored = agreements(settle(pairs, "pairs_within"), found.classes, spec)
+    return verified(settle(scored.filter(F.col("agreement") >= spec.least_agreement).select("a", "b"), "likely_within"), bodies, spec)
+
+
+def _prefix_pairs(rows: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
+    """The pairs ``a < b`` of one component that can reach the threshold, from ``component, node, body``: of two sets with similarity t,
+    each a list in one order, the first |x| - ceil(t |x|) + 1 members have one in common. The order is from the rarest in
+    the component on, so few texts share those."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "body", 1 << 20):
+            hashes, bounds, _ = distinct_sets(batch.column("body").to_pylist(), spec.shingle)
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
+            sizes = pa.array(np.repeat(np.diff(bounds), np.diff(bounds)))
+            yield pa.RecordBatch.from_arrays([batch.column("component").take(owner), batch.column("node").take(owner), pa.array(hashes.view(np.int64)), sizes], ["component", "node", "token", "size"])
+
+    tokens = settle(rows.select("component", "node", "body").mapInArrow(sets, "component bigint, node bigint, token bigint, size bigint"), "tokens")
+    tokens = tokens.withColumn("key", F.xxhash64("component", "token"))
+    counts = tokens.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # A run that no other text of the component has leads each list; it makes no pair.
+    shared = join_skewed(tokens, counts, "key", hot_rows=spec.hot_rows).select("node", "key", "size", "n")
+    lists = shared.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("list"))
+    alone = F.col("size") - F.size("list")
+    prefix = F.col("size") - F.ceil(F.col("size") * spec.threshold - 1e-9) + 1 - alone
+    keys = settle(lists.filter(prefix > 0).select("node", "size", F.explode(F.transform(F.slice("list", F.lit(1), F.least(F.size("list"), prefix).cast("int")), lambda x: x["key"])).alias("key")), "prefixes")
+    a, b = keys.select("key", F.col("node").alias("a"), F.col("size").alias("p")), keys.select("key", F.col("node").alias("b"), F.col("size").alias("q"))
+    near = (F.col("p") >= F.col("q") * spec.threshold) & (F.col("q") >= F.col("p") * spec.threshold)
+    return join_skewed(a, b, "key", hot_rows=spec.hot_rows).filter("a < b").filter(near).select("a", "b").distinct()
 
 
 def similar_ids(found: NearDuplicates) -> DataFrame:
     """All pairs ``id_a < id_b`` of distinct ids with similar or equal texts."""
     ids = found.members.select("id", "node")
     equal = ids.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    pairs = found.pairs.select("a", "b").unionByName(equal)
+    pairs = found.pairs().select("a", "b").unionByName(equal)
     both = pairs.join(ids.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("y")), "b")
     ordered = both.filter("x <> y and (a <> b or x < y)").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return ordered.distinct()
 
 
 def labelled_members(found: NearDuplicates) -> DataFrame:
-    """One row per id and class: ``id, part, class_id`` and ``group_id`` (the class's own id if nothing is similar), and
-    ``links``, the number of similar other classes."""
-    links = found.pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    out = found.members.join(found.groups, "node", "left").join(links, "node", "left")
-    return out.select("id", "part", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    """One row per id and class: ``id, part, class_id`` and ``group_id``, the class's own id if nothing is similar."""
+    out = found.members.join(found.groups, "node", "left")
+    return out.select("id", "part", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("group_id"))
 
 
 #: Openings of the header lines that are no rules text.

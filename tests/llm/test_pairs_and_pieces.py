@@ -2,6 +2,7 @@
 
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -54,7 +55,7 @@ def test_pairs_against_brute_force(spark):
             rows.append((f"{g}-{k}", rng.choice(["a", "b", None]), " ".join(w)))
     rows += [("copy", "a", rows[0][2]), rows[1], ("n", "a", None), ("e", "a", ""), ("short", "a", "one two"), ("0-0", "a", rows[3][2])]
     rows += [(f"hot{i}", "a", "the same text again " * 6) for i in range(60)] + [("long", "b", " ".join(WORDS * 200))]
-    spec = N.NearDuplicateSpec(shingle=2, threshold=0.6, min_words=20)
+    spec = N.CHUNK_SPEC
     found = N.near_duplicates(spark.createDataFrame(rows, "id string, part string, body string"), spec)
     got = {(r.id_a, r.id_b) for r in N.similar_ids(found).collect()}
     sets = [(i, p, frozenset(zip(w, w[1:]))) for i, p, t in set(rows) if t and len(w := re.findall(r"[^\W_]+", t.lower())) >= 20]
@@ -69,10 +70,34 @@ def test_pairs_against_brute_force(spark):
     assert len(sure - got) <= 0.01 * len(sure)
     labelled = N.labelled_members(found).collect()
     assert len({r.class_id for r in labelled if r.id.startswith("hot")}) == 1 and {r.id for r in labelled} == {i for i, _, _ in sets}
+    # Groups taken as large, and keys as hot, give the same pairs.
+    forced = N.near_duplicates(spark.createDataFrame(rows, "id string, part string, body string"), replace(spec, small_group=2, hot_rows=5))
+    assert {(r.id_a, r.id_b) for r in N.similar_ids(forced).collect()} == got
     empty = N.near_duplicates(spark.createDataFrame([], "id string, part string, body string"), spec)
     assert N.similar_ids(empty).count() == 0 and N.labelled_members(empty).count() == 0
 
 
+def test_long_chain_and_hot_family(spark):
+    """A chain of 5,000 classes, each similar to the next ones only, and a family of 600 that all share half of their runs."""
+    rng = random.Random(11)
+    long = [f"c{rng.randrange(10**6)}" for _ in range(5000 * 8 + 60)]
+    chain = [(f"c{i:04}", "a", " ".join(long[i * 8 : i * 8 + 60])) for i in range(5000)]
+    base = [f"h{i}" for i in range(60)]
+    fresh = lambda n: [f"f{rng.randrange(10**7)}" for _ in range(n)]
+    family = [(f"h{i:03}", "b", " ".join(base + fresh(40))) for i in range(600)]
+    for i in range(0, 120, 2):  # planted pairs of similarity about 0.7
+        words = family[i][2].split()
+        family[i + 1] = (family[i + 1][0], "b", " ".join(words[:82] + fresh(18)))
+    found = N.near_duplicates(spark.createDataFrame(chain + family, "id string, part string, body string"), N.CHUNK_SPEC)
+    got = {(r.id_a, r.id_b) for r in N.similar_ids(found).collect()}
+    near = {(f"c{i:04}", f"c{i + 1:04}") for i in range(4999)}
+    assert near <= got and {x for x in got if x[0][0] == "c"} == near
+    planted = {(f"h{i:03}", f"h{i + 1:03}") for i in range(0, 120, 2)}
+    assert len(planted - got) <= 0.02 * len(planted), len(planted - got)
+    groups = {r.id: r.group_id for r in N.labelled_members(found).collect()}
+    assert len({groups[i] for i, *_ in chain}) == 1
+
+
 def test_one_permutation_estimates_similarity():
     rng = np.random.default_rng(2)
     common, a, b = (rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64) for n in (120, 40, 40))
