@@ -73,7 +73,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     """Test items by the number of documents that hold them."""
     found = leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
-    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("windows").alias("most_windows"))
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("containment").alias("most_contained"), F.max("windows").alias("most_windows"))
 
 
 @query()

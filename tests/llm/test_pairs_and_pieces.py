@@ -168,4 +168,22 @@ def test_leaks_against_brute_force(spark):
     a, b = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string"), spark.createDataFrame(items, "item_id bigint, text string")
     for spec in (L.LeakSpec(), L.LeakSpec(block_chars=1000)):
         assert {(r.doc_id, r.item_id) for r in L.find_leaks(a, b, spec).collect()} == want
+    share = lambda t, k: {tuple(w[i : i + k]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] for i in range(len(w) - k + 1)}
+    texts, names = {}, dict(items)
+    for d, t, _ in docs:
+        texts.setdefault(d, []).append(t)
+    for r in L.find_leaks(a, b).collect():
+        parts = share(names[r.item_id], 5)
+        assert any(abs(len(parts & share(t, 5)) / len(parts) - r.containment) < 1e-9 for t in texts[r.doc_id])
     assert (502, 92) in want and L.find_leaks(a, b.limit(0)).count() == 0 and L.find_leaks(a.limit(0), b).count() == 0
+
+
+def test_item_index_is_small():
+    rng = random.Random(4)
+    items = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(rng.randrange(8, 400)))) for i in range(1500)]
+    chars = sum(len(t) for _, t in items)
+    index = L.ItemIndex(items, L.LeakSpec(), slice_chars=1 << 16)
+    assert chars > 1 << 20 and index.memory() < 8 * chars
+    whole = L.ItemIndex(items, L.LeakSpec())
+    assert [p.upper for p in index.partitions] == [p.upper for p in whole.partitions] and len(index.partitions) > 3
+    assert all((a.values == b.values).all() and (a.item == b.item).all() for a, b in zip(index.partitions, whole.partitions))
