@@ -2,18 +2,19 @@
 
 The index holds the key and two content hashes of each record, never the contents. A new snapshot is reduced to the same
 form, written as a table bucketed and sorted by key, and joined with the index bucket by bucket, without a shuffle of
-either. Old and new values are fetched only for the keys that changed. Then the new table becomes the index.
+either. Old and new values are fetched only for the keys that changed. Then the new table becomes the index and the old one is
+dropped.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.session import new_folder, remove_folder
+from scriptorium.session import join_small, new_folder, release, remove_folder, settle
 
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
 
@@ -40,7 +41,6 @@ class SnapshotIndex:
     version: Column
     buckets: int
     _live: tuple[str, str] | None = None
-    _past: list[tuple[str, str]] = field(default_factory=list)
 
     def build(self, snapshot: DataFrame) -> DataFrame:
         """One row per key: the row with the latest version counts; of several the one with the greatest hashes. Rows
@@ -57,15 +57,9 @@ class SnapshotIndex:
         index.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).option("compression", "zstd").saveAsTable(name)
         return name, path
 
-    def apply(self, snapshot: DataFrame) -> DataFrame | None:
-        """The changes against the last snapshot as ``key, change``, or None for the first. The old index stays readable
-        until ``close``, because the result is lazy."""
-        old, new = self._live, self._write(self.build(snapshot))
-        self._live = new
-        if old is None:
-            return None
-        self._past.append(old)
-        a, b = self.spark.table(old[0]).alias("a"), self.spark.table(new[0]).alias("b")
+    def probe(self, new: tuple[str, str]) -> DataFrame:
+        """The changes of a written index against the live one as ``key, change``, bucket by bucket."""
+        a, b = self.spark.table(self._live[0]).alias("a"), self.spark.table(new[0]).alias("b")
         same = F.lit(True)
         for c in self.content:
             same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
@@ -73,37 +67,53 @@ class SnapshotIndex:
         joined = a.join(b.hint("merge"), F.col("a.key") == F.col("b.key"), "full_outer")
         return joined.select(F.coalesce("a.key", "b.key").alias("key"), change.alias("change")).filter(F.col("change").isNotNull())
 
+    def apply(self, snapshot: DataFrame) -> DataFrame | None:
+        """The changes against the last snapshot as ``key, change``, written to the shared folder, or None for the first. The snapshot's
+        index takes the place of the last one, which is dropped."""
+        new = self._write(self.build(snapshot))
+        changes = None if self._live is None else settle(self.probe(new), "changes")
+        self.close()
+        self._live = new
+        return changes
+
     def close(self) -> None:
-        for name, path in [*self._past, *([self._live] if self._live else [])]:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove_folder(self.spark, path)
-        self._past, self._live = [], None
+        if self._live:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._live[0]}")
+            remove_folder(self.spark, self._live[1])
+        self._live = None
 
 
 def snapshot_changes(snapshots: DataFrame, number: str = "snapshot_no", key: str = "chunk_id", buckets: int | None = None) -> DataFrame:
-    """Changes between every two deliveries with consecutive numbers, as ``snapshot_no`` (of the later one), ``key``,
-    ``change``. A number without any row is an empty delivery if it lies between others. Columns: ``number, key, text,
-    meta, delivered_at``; others do not count. ``buckets``: of the index, by default as many as shuffle partitions. Only the least and greatest number reach the driver."""
+    """Changes between every two consecutive deliveries, as ``snapshot_no`` (of the later one), ``key``, ``change``. Deliveries are
+    consecutive if no row has a number between theirs; rows without a number belong to none. Columns: ``number, key, text,
+    meta, delivered_at``; others do not count. ``buckets``: of the index, by default as many as shuffle partitions. Only the
+    distinct numbers reach the driver. The table is read once, to reduce each row to its hashes."""
     spark = snapshots.sparkSession
-    rows = snapshots.select(number, key, "text", "meta", "delivered_at")
-    first, last = rows.select(F.min(number), F.max(number)).first()
+    hashed = snapshots.filter(F.col(number).isNotNull()).select(F.col(number).cast("int").alias("number"), F.col(key).alias("key"), "delivered_at", text_hash(F.col("text")).alias("text_hash"), map_hash(F.col("meta")).alias("meta_hash"))
+    hashed = settle(hashed, "snapshot_hashes", ["number"])
     result = spark.createDataFrame([], "snapshot_no int, key string, change string")
-    if first is None:
-        return result
-    index = SnapshotIndex(spark, key, {"text_hash": text_hash(F.col("text")), "meta_hash": map_hash(F.col("meta"))}, F.col("delivered_at"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    for n in range(first, last + 1):
-        changes = index.apply(rows.filter(F.col(number) == n))
+    index = SnapshotIndex(spark, "key", {c: F.col(c) for c in ("text_hash", "meta_hash")}, F.col("delivered_at"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for (n,) in hashed.select("number").distinct().orderBy("number").collect():
+        changes = index.apply(hashed.filter(F.col("number") == n))
         if changes is not None:
             result = result.unionByName(changes.select(F.lit(n).cast("int").alias("snapshot_no"), "key", "change"))
+    index.close()
+    release(hashed)
     return result
 
 
 def changed_values(snapshots: DataFrame, changes: DataFrame, number: str = "snapshot_no", key: str = "chunk_id") -> DataFrame:
-    """The changes with ``old_text, old_meta, new_text, new_meta``, fetched from the deliveries for changed keys only."""
+    """The changes with ``old_text, old_meta, new_text, new_meta``, fetched from the deliveries for changed keys only. Up to 300,000
+    of them are sent to the tasks that read the deliveries, whose texts then are not shuffled unless changed; of more, the
+    deliveries are joined by key."""
+    numbers = [n for (n,) in snapshots.select(F.col(number).cast("int").alias("n")).filter("n is not null").distinct().orderBy("n").collect()]
+    before = F.create_map(*[F.lit(x) for pair in zip(numbers[1:], numbers) for x in pair]) if len(numbers) > 1 else F.create_map().cast("map<int,int>")
+    changes = settle(changes.select("snapshot_no", "key", "change").withColumn("before", F.try_element_at(before, F.col("snapshot_no"))), "changes")
+    needed = settle(changes.select("key", F.explode(F.array("before", "snapshot_no")).alias("no")).distinct(), "changed_keys")
     latest = F.max_by(F.struct("text", "meta"), F.struct("delivered_at", text_hash(F.col("text")), map_hash(F.col("meta"))))
-    needed = changes.select(F.col("key"), F.explode(F.array(F.col("snapshot_no") - 1, F.col("snapshot_no"))).alias("no")).distinct()
-    rows = snapshots.select(F.col(key).alias("key"), F.col(number).alias("no"), "text", "meta", "delivered_at")
-    values = rows.join(needed, ["key", "no"], "left_semi").groupBy("key", "no").agg(latest.alias("v"))
-    old = values.select("key", (F.col("no") + 1).alias("snapshot_no"), F.col("v.text").alias("old_text"), F.col("v.meta").alias("old_meta"))
+    rows = snapshots.select(F.col(key).alias("key"), F.col(number).cast("int").alias("no"), "text", "meta", "delivered_at")
+    values = join_small(rows, needed, ["key", "no"], "left_semi", max_rows=300_000, salts=1).groupBy("key", "no").agg(latest.alias("v"))
+    values = settle(values, "changed_values")
+    old = values.select("key", F.col("no").alias("before"), F.col("v.text").alias("old_text"), F.col("v.meta").alias("old_meta"))
     new = values.select("key", F.col("no").alias("snapshot_no"), F.col("v.text").alias("new_text"), F.col("v.meta").alias("new_meta"))
-    return changes.join(old, ["key", "snapshot_no"], "left").join(new, ["key", "snapshot_no"], "left")
+    return changes.join(old, ["key", "before"], "left").join(new, ["key", "snapshot_no"], "left").select("snapshot_no", "key", "change", "old_text", "old_meta", "new_text", "new_meta")

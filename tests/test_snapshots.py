@@ -29,9 +29,12 @@ def test_changes(spark):
     assert (values["text"].old_text, values["text"].new_text) == ("a", "b") and values["gone"].new_text is None and values["meta"].new_meta == {"k": "2"}
 
 
-def test_a_number_without_rows_is_an_empty_delivery(spark):
-    got = S.snapshot_changes(rows(spark, (1, "a", "x", None, T1), (3, "a", "x", None, T1)), buckets=2)
-    assert {(r.snapshot_no, r.change) for r in got.collect()} == {(2, "removed"), (3, "added")}
+def test_only_existing_numbers_are_deliveries(spark):
+    df = rows(spark, (20240101, "a", "x", None, T1), (20250101, "a", "y", None, T1), (20250101, "b", "z", None, T1), (None, "c", "x", None, T1))
+    changes = S.snapshot_changes(df, buckets=2)
+    assert {(r.snapshot_no, r.key, r.change) for r in changes.collect()} == {(20250101, "a", "changed"), (20250101, "b", "added")}
+    assert {r.key: (r.old_text, r.new_text) for r in S.changed_values(df, changes).collect()} == {"a": ("x", "y"), "b": (None, "z")}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("snapshot_index")]
 
 
 def test_empty_and_single(spark):
@@ -45,6 +48,9 @@ def test_index_join_needs_no_shuffle(spark, data):
     df = table(spark, data, "chunk_snapshots")
     index = S.SnapshotIndex(spark, "chunk_id", {"h": S.text_hash(df["text"])}, df["delivered_at"], 4)
     assert index.apply(df.filter("snapshot_no = 1")) is None
-    plan = index.apply(df.filter("snapshot_no = 2"))._jdf.queryExecution().executedPlan().toString()
+    new = index._write(index.build(df.filter("snapshot_no = 2")))
+    plan = index.probe(new)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+    first = index._live
+    assert index.apply(df.filter("snapshot_no = 2")).count() > 0 and index._live != first and not spark.catalog.tableExists(first[0])
     index.close()
