@@ -37,8 +37,7 @@ bm AS (SELECT qid, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75
 @query(f"WITH {SQL_BM25} SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 30")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 30 best documents of every evaluation item."""
-    scored = lexical.bm25(_documents(spark, folder), _questions(spark, folder))
-    return lexical.top_per_question(scored, S.lexical_candidates).select("qid", "id", "score", "rank")
+    return lexical.bm25_topk(_documents(spark, folder), _questions(spark, folder), S.lexical_candidates).select("qid", "id", "score", "rank")
 
 
 SQL_LEXICAL = f"""{SQL_BM25},

@@ -52,10 +52,12 @@ def test_neighbours(spark):
 def test_bm25_edges(spark):
     docs = spark.createDataFrame([(1, "the deep strike rule"), (2, None), (3, ""), (4, "deep deep water")], "id int, text string")
     asked = spark.createDataFrame([(1, "Deep strike"), (2, ""), (3, None), (4, "nothing here")], "qid int, text string")
-    got = {(r.qid, r.id): r for r in lexical.bm25(docs, asked).collect()}
+    got = {(r.qid, r.id): r for r in lexical.bm25_topk(docs, asked, 9).collect()}
+    blocked = lexical.bm25_topk(docs, asked, 9, max_cells=1)
+    assert sorted(map(tuple, blocked.collect())) == sorted(map(tuple, got.values()))
     assert set(got) == {(1, 1), (1, 4)} and got[1, 1].matched == 2
     assert [(r.id, r.sim) for r in lexical.lexical_search(docs, asked).collect()] == [(1, 0.55)]
-    assert lexical.bm25(docs.limit(0), asked).count() == 0
+    assert lexical.bm25_topk(docs.limit(0), asked, 9).count() == 0 and lexical.bm25_topk(docs, asked.limit(0), 9).count() == 0
 
 
 def test_exact_names_come_first(spark):
