@@ -4,8 +4,8 @@ Each text becomes the set of its distinct runs of ``k`` adjacent words. Texts wi
 handled once, so any number of exact copies costs one signature. Signatures come from a one-permutation pass; an
 empty bin borrows from a bin chosen by a hash of its number and the attempt (optimal densification). Bands of the
 signature are bucket keys. In a bucket every class is linked only to one centre, another one in each bucket, so that a bucket
-of n classes gives n - 1 candidate pairs. Where a member is not similar to the centre, a bucket of a few classes is compared pair by
-pair; a larger one is split by a further signature value and linked to new centres, in a few rounds. Candidates whose signatures differ too much are dropped
+of n classes gives n - 1 candidate pairs. Where a member is by its sketch not similar to the centre, a bucket of a few classes is compared pair by
+pair; a larger one is split by a further signature value and linked to new centres, in a few rounds. Candidates whose sketches differ too much are dropped
 before any text is read; the rest is verified on the exact sets.
 """
 
@@ -27,12 +27,16 @@ from scriptorium.llm.components import components
 from scriptorium.session import join_skewed, join_small, release, rows_within, settle
 
 
+#: Signature values of which a sketch holds two bits each, in two numbers of 64 bits.
+SKETCHED = 60
+
+
 @dataclass(frozen=True)
 class NearDuplicateSpec:
     """``shingle`` words per run, Jaccard ``threshold``, ``min_words`` below which a text takes no part. The signature has
     ``bins`` values of 16 bits in bands of ``rows``. 120 values in 20 bands of 6 rows let a pair of similarity 0.8 share a bucket
-    with probability 0.998; 60 values in 20 bands of 3 do so for 0.6 with 0.994. A candidate is read only if its share of equal values is
-    within ``slack`` standard deviations of the threshold, which loses 3 in 100,000 pairs at the threshold itself. ``rounds`` of finer
+    with probability 0.998; 60 values in 20 bands of 3 do so for 0.6 with 0.994. A candidate is read only if the similarity that two bits
+    of each of 60 values show is within ``slack`` standard deviations of the threshold, which loses 3 in 100,000 pairs at the threshold itself. ``rounds`` of finer
     buckets follow the first where a class is by its signature not similar to the centre, and buckets of up to ``small_bucket`` classes are then compared pair by pair. Groups of up to ``small_group`` classes are compared within pair by pair, larger ones through
     the rarest runs of each text, which loses no pair either; ``hot_rows`` is the size from which a key is spread."""
 
@@ -48,9 +52,9 @@ class NearDuplicateSpec:
     small_bucket: int = 8
 
     @property
-    def least_agreement(self) -> float:
-        t = self.threshold
-        return t - self.slack * sqrt(t * (1 - t) / self.bins)
+    def least_estimate(self) -> float:
+        p = 0.25 + 0.75 * self.threshold
+        return self.threshold - self.slack * sqrt(p * (1 - p) / SKETCHED) / 0.75
 
 
 #: Rules text of chunks, as the task states it: word pairs and 0.6.
@@ -108,9 +112,9 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def signatures(rows: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
-    """``id, part, body`` -> ``id, part, node, body_key, signature`` of the texts long enough; ``node`` is a 64-bit hash of the part
+    """``id, part, body`` -> ``id, part, node, body_key, signature, s0, s1`` of the texts long enough; ``node`` is a 64-bit hash of the part
     and the shingle set, so texts of one part with equal sets share it; ``body_key`` a hash of the body, by which it is found
-    again; ``signature`` has two bytes per value."""
+    again; ``signature`` has two bytes per value, ``s0`` and ``s1`` two bits of the first 60."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: dict[str | None, int] = {}
@@ -124,37 +128,55 @@ def signatures(rows: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
             np.cumsum(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=prefix[1, 1:])
             sums = prefix[:, bounds[1:]] - prefix[:, bounds[:-1]]
             node = mix(mix(sums[0] ^ salt) + sums[1])
-            values = (one_permutation(hashes, bounds, spec.bins, 1) & np.uint64(0xFFFF)).astype(">u2")
-            out = pa.table({"id": table["id"], "part": table["part"], "node": pa.array(node.view(np.int64)), "body_key": table["body_key"], "signature": pa.array([v.tobytes() for v in values], pa.binary())})
+            minima = one_permutation(hashes, bounds, spec.bins, 1)
+            values = (minima & np.uint64(0xFFFF)).astype(">u2")
+            half = SKETCHED // 2
+            bits = np.zeros((len(texts), SKETCHED), np.uint64)
+            used = min(SKETCHED, spec.bins)
+            bits[:, :used] = minima[:, :used] >> np.uint64(20) & np.uint64(3)
+            shifts = np.arange(half, dtype=np.uint64) * np.uint64(2)
+            sketch = [(bits[:, h : h + half] << shifts).sum(axis=1, dtype=np.uint64).view(np.int64) for h in (0, half)]
+            out = pa.table({"id": table["id"], "part": table["part"], "node": pa.array(node.view(np.int64)), "body_key": table["body_key"], "signature": pa.array([v.tobytes() for v in values], pa.binary()), "s0": pa.array(sketch[0]), "s1": pa.array(sketch[1])})
             keep = pa.array((words >= spec.min_words) & (np.diff(bounds) > 0))
             yield from out.filter(keep).combine_chunks().to_batches()
 
     keyed = rows.select("id", "part", "body", F.xxhash64("body").alias("body_key"))
-    return keyed.mapInArrow(sign, "id string, part string, node bigint, body_key bigint, signature binary")
+    return keyed.mapInArrow(sign, "id string, part string, node bigint, body_key bigint, signature binary, s0 bigint, s1 bigint")
+
+
+def estimate(x: tuple[Column, Column], y: tuple[Column, Column]) -> Column:
+    """The similarity that two sketches show: a quarter of the values of unlike sets agree in two bits."""
+    apart = F.lit(0)
+    for a, b in zip(x, y):
+        differ = a.bitwiseXOR(b)
+        apart = apart + F.bit_count(differ.bitwiseOR(F.shiftright(differ, 1)).bitwiseAND(F.lit(0x0555555555555555)))
+    return (1 - apart / SKETCHED - 0.25) / 0.75
 
 
 def cells_of(classes: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
-    """``node, band, key``: the buckets of each class (``node, part, signature``)."""
-    bands = classes.select("node", "part", "signature", F.explode(F.sequence(F.lit(0), F.lit(spec.bins // spec.rows - 1))).alias("band"))
+    """``node, s0, s1, key``: the buckets of each class."""
+    bands = classes.select("node", "s0", "s1", "part", "signature", F.explode(F.sequence(F.lit(0), F.lit(spec.bins // spec.rows - 1))).alias("band"))
     values = F.substring("signature", F.col("band") * (2 * spec.rows) + 1, F.lit(2 * spec.rows))
-    return bands.select("node", "band", F.xxhash64("part", "band", values).alias("key"))
+    return bands.select("node", "s0", "s1", F.xxhash64("part", "band", values).alias("key"))
 
 
 def _finer(cells: DataFrame, classes: DataFrame, spec: NearDuplicateSpec, turn: int) -> DataFrame:
-    """The cells in buckets split by one more signature value, of the band after next and so on."""
-    at = F.pmod((F.col("band") + 1 + turn) * spec.rows, F.lit(spec.bins)) * 2 + 1
+    """The cells in buckets split by one more signature value, the same one for a whole bucket."""
+    at = F.pmod(F.col("key") + turn, F.lit(spec.bins)) * 2 + 1
     value = F.substring("signature", at.cast("int"), F.lit(2))
-    return cells.join(classes.select("node", "signature"), "node").select("node", "band", F.xxhash64("key", value).alias("key"))
+    return cells.join(classes.select("node", "signature"), "node").select("node", "s0", "s1", F.xxhash64("key", value).alias("key"))
 
 
-def star_edges(cells: DataFrame, spec: NearDuplicateSpec) -> tuple[DataFrame, DataFrame]:
-    """``key, centre, n`` of the buckets with several classes, and ``node, key, centre``: each class of such a bucket but the centre
-    itself."""
+def star_edges(cells: DataFrame, classes: DataFrame, spec: NearDuplicateSpec) -> tuple[DataFrame, DataFrame]:
+    """``key, centre, n`` of the buckets with several classes, and ``node, s0, s1, key, centre, estimate``: each class of such a bucket but
+    the centre itself, with its estimated similarity to the centre."""
     # node XOR key orders each bucket differently, so that no class is the centre everywhere.
     stars = cells.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    stars = settle(stars, "stars")
-    joined = join_skewed(cells.select("node", "key"), stars.drop("n"), "key", hot=stars.filter(F.col("n") > spec.hot_rows), hot_rows=spec.hot_rows)
-    return stars, settle(joined.withColumn("centre", F.col("centre").bitwiseXOR(F.col("key"))).filter("centre <> node"), "star_edges")
+    stars = stars.withColumn("centre", F.col("centre").bitwiseXOR(F.col("key")))
+    stars = settle(stars.join(classes.select(F.col("node").alias("centre"), F.col("s0").alias("c0"), F.col("s1").alias("c1")), "centre"), "stars")
+    joined = join_skewed(cells, stars.drop("n"), "key", hot=stars.filter(F.col("n") > spec.hot_rows), hot_rows=spec.hot_rows).filter("centre <> node")
+    close = estimate((F.col("s0"), F.col("s1")), (F.col("c0"), F.col("c1")))
+    return stars, settle(joined.select("node", "s0", "s1", "key", "centre", close.alias("estimate")), "star_edges")
 
 
 def _with_both(pairs: DataFrame, values: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
@@ -166,18 +188,6 @@ def _with_both(pairs: DataFrame, values: DataFrame, spec: NearDuplicateSpec) ->
     return join_skewed(join_skewed(pairs, left, "a", hot=hot["a"]), right, "b", hot=hot["b"])
 
 
-def agreements(pairs: DataFrame, classes: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
-    """``a, b, agreement`` of settled pairs: the share of equal values of their signatures, which estimates their similarity."""
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).mean(axis=1))], ["a", "b", "agreement"])
-
-    return _with_both(pairs, classes.select("node", "signature"), spec).mapInArrow(agree, "a bigint, b bigint, agreement double")
-
-
 def jaccards(x: list[str], y: list[str], k: int) -> np.ndarray:
     """The exact similarity of the shingle sets of each two texts."""
     n = len(x)
@@ -240,30 +250,28 @@ def near_duplicates(rows: DataFrame, spec: NearDuplicateSpec) -> NearDuplicates:
     """
     signed = settle(signatures(rows, spec), "signatures")
     members = signed.select("id", "part", "node").distinct()
-    classes = settle(signed.groupBy("node").agg(*(F.min(c).alias(c) for c in ("part", "signature", "body_key"))), "classes")
-    cells = settle(cells_of(classes, spec), "cells")
-    tried = extra = None
+    classes = settle(signed.groupBy("node").agg(*(F.min(c).alias(c) for c in ("part", "signature", "body_key", "s0", "s1"))), "classes")
+    cells, likely = settle(cells_of(classes, spec), "cells"), None
     pair = (F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     for turn in range(spec.rounds + 1):
-        stars, edges = star_edges(cells, spec)
-        fresh = edges.select(*pair) if extra is None else edges.select(*pair).unionByName(extra)
-        fresh = settle(fresh.distinct() if tried is None else fresh.distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
-        scored = agreements(fresh, classes, spec)
-        before, tried = tried, settle(scored if tried is None else tried.unionByName(scored), "tried")
-        release(fresh, before)
+        stars, edges = star_edges(cells, classes, spec)
+        found = edges.filter(F.col("estimate") >= spec.least_estimate).select(*pair)
+        likely = found if likely is None else likely.unionByName(found)
         if turn == spec.rounds:
             break
         # Buckets in which a class is not similar to the centre may hide pairs of the others.
-        failed = edges.select("key", *pair).join(tried.filter(F.col("agreement") < spec.threshold), ["a", "b"], "left_semi").select("key").distinct()
-        busy = settle(failed.join(stars.select("key", "n").filter("n > 2"), "key"), "busy")
+        failed = edges.filter(F.col("estimate") < spec.threshold).select("key").distinct()
+        busy = settle(failed.join(stars.filter("n > 2"), "key"), "busy")
         if rows_within(busy, 0):
             break
-        open_cells = settle(join_skewed(cells, busy, "key", hot=busy.filter(F.col("n") > spec.hot_rows)), "open_cells")
-        few = open_cells.filter(F.col("n") <= spec.small_bucket)
-        extra = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b")
-        before, cells = cells, settle(_finer(open_cells.filter(F.col("n") > spec.small_bucket), classes, spec, turn), "cells")
-        release(before, stars, edges)
-    likely = tried.filter(F.col("agreement") >= spec.least_agreement).select("a", "b")
+        crowd = join_skewed(edges.select("node", "s0", "s1", "key"), busy.select("key", "n"), "key", hot=busy.filter(F.col("n") > spec.hot_rows))
+        crowd = settle(crowd.unionByName(busy.select(F.col("centre").alias("node"), F.col("c0").alias("s0"), F.col("c1").alias("s1"), "key", "n")), "crowd")
+        few = crowd.filter(F.col("n") <= spec.small_bucket)
+        a, b = (few.select("key", F.col("node").alias(c), F.col("s0").alias(f"{c}0"), F.col("s1").alias(f"{c}1")) for c in "ab")
+        near = estimate((F.col("a0"), F.col("a1")), (F.col("b0"), F.col("b1"))) >= spec.least_estimate
+        likely = likely.unionByName(a.join(b, "key").filter("a < b").filter(near).select("a", "b"))
+        cells = settle(_finer(crowd.filter(F.col("n") > spec.small_bucket), classes, spec, turn), "cells")
+    likely = settle(likely.distinct(), "likely")
     bodies = settle(_bodies(rows, classes, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "bodies")
     links = settle(verified(likely, bodies, spec), "verified")
     release(bodies)
@@ -282,8 +290,10 @@ def _pairs_within(found: NearDuplicates) -> DataFrame:
     if not rows_within(large, 0):
         many = groups.join(large, "component")
         pairs = pairs.unionByName(_prefix_pairs(many.join(bodies, "node"), spec))
-    scored = agreements(settle(pairs, "pairs_within"), found.classes, spec)
-    return verified(settle(scored.filter(F.col("agreement") >= spec.least_agreement).select("a", "b"), "likely_within"), bodies, spec)
+    x, y = (found.classes.select(F.col("node").alias(c), F.struct("s0", "s1").alias(f"{c}s")) for c in "ab")
+    near = estimate(*((F.col(f"{c}s.s0"), F.col(f"{c}s.s1")) for c in "ab")) >= spec.least_estimate
+    likely = settle(pairs.join(x, "a").join(y, "b").filter(near).select("a", "b"), "likely_within")
+    return verified(likely, bodies, spec)
 
 
 def _prefix_pairs(rows: DataFrame, spec: NearDuplicateSpec) -> DataFrame:
