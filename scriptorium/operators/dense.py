@@ -18,22 +18,24 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, block: int = 512) -> DataFrame:
     """``qid, id, cosine, rank``: the ``k`` nearest ``vectors`` (id, vector) of each query (qid, vector), itself (equal id)
-    left out; ties by id. Cosines are rounded to six digits before ranking; a zero vector has cosine 0. Null vectors and
-    those of another length than the queries' take no part. ``threshold`` filters on the cosine after ranking.
+    left out; ties by id. Cosines are rounded to six digits before ranking; a zero vector has cosine 0. The commonest length of the
+    queries counts, of several the greatest; null vectors and those of another length take no part. ``threshold`` filters on the cosine after ranking.
 
     Each task multiplies its batches with a block of queries and passes on only its own ``k`` best per query, so the shuffle
     does not grow with the vectors per task. Queries are sent out in blocks of ``block``.
     """
     spark = vectors.sparkSession
     schema = "qid bigint, id bigint, cosine double"
-    count = queries.filter("vector is not null").count()
     parts = spark.createDataFrame([], schema)
+    lengths = queries.filter("vector is not null and qid is not null").groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"))
+    common = lengths.orderBy(F.desc("n"), F.desc("width")).first()
+    width, count = common if common is not None else (0, 0)
+    queries = queries.filter(F.size("vector") == width)
     blocks = max(1, math.ceil(count / block))
     for b in range(blocks):
         rows = queries.filter("vector is not null").filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "vector").collect()
         if not rows:
             continue
-        width = len(rows[0][1])
         sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), _unit(np.array([r[1] for r in rows], np.float64).reshape(len(rows), width))))
 
         def nearest(batches: Iterator[pa.RecordBatch], sent=sent, width=width) -> Iterator[pa.RecordBatch]:

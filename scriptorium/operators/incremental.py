@@ -45,10 +45,10 @@ def consecutive(rows: DataFrame, number: str) -> tuple[DataFrame, DataFrame]:
     return old.withColumn(number, (F.col(number) + 1).cast(rows.schema[number].dataType)).select(*rows.columns), new.select(*rows.columns)
 
 
-def fold(rows: DataFrame, number: str, key: str, value: str) -> DataFrame:
+def fold(rows: DataFrame, number: str, key: str, value: str, delivered: str) -> DataFrame:
     """``key, number, value``: what is left after the deliveries were upserted in the order of their numbers. Of a key given
-    several times in one delivery the greatest value counts."""
-    best = F.max(F.struct(number, value)).alias("__best")
+    several times in one delivery the row delivered last counts, of several the greatest value."""
+    best = F.max(F.struct(number, delivered, value)).alias("__best")
     return rows.filter(F.col(number).isNotNull()).groupBy(key).agg(best).select(key, F.col(f"__best.{number}"), F.col(f"__best.{value}"))
 
 

@@ -60,11 +60,13 @@ def reserve_units(rows: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 def assemble(units: DataFrame, rules: DataFrame, main: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """The context rows of each question, ``qid, id, tier, score, place``: the best row of every reserved unit, the best rules,
     the units' other reserved rows, and main rows of further units until ``top_k`` is reached. Inputs: qid, id, key, unit, pos,
-    score; rules and main deduplicated by content in pool order first. A null unit is capped by none."""
+    score, and cosine of the units; each deduplicated by content in pool order first. Units' rows that are among the best rules leave
+    their place to the unit's next ones. A null unit is capped by none."""
     columns = ["qid", "id", "key", "unit", "pos", "score"]
     rule_order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("pos"))
     top_rules = first_per_key(rules.select(columns)).withColumn("__r", F.row_number().over(rule_order)).filter(F.col("__r") <= s.top_k_rules).drop("__r")
-    own = units.select(columns).join(top_rules.select("qid", "key"), ["qid", "key"], "left_anti")
+    free = first_per_key(units.select(*columns, "cosine")).join(top_rules.select("qid", "key"), ["qid", "key"], "left_anti")
+    own = reserve_units(free, s).select(columns)
     best = Window.partitionBy("qid", "unit").orderBy(F.desc("score"), F.asc("pos"))
     own = own.withColumn("tier", F.when(F.row_number().over(best) == 1, 1).otherwise(3))
     reserved = own.select(*columns, "tier").unionByName(top_rules.select(*columns, F.lit(2).alias("tier")))

@@ -100,54 +100,125 @@ def in_scope(category: Column, army: Column, armies: Column, s: Settings = SETTI
 
 @dataclass(frozen=True)
 class Mention:
-    """One occurrence of a name: the armies it may belong to, and the choice once made."""
+    """One occurrence of a name. ``family``: for each army the units that may be meant. ``options`` are the armies to ask among;
+    ``army`` and ``unit`` are set once settled."""
 
     ref: str
-    start: int
-    end: int
+    start: int | None
+    end: int | None
+    family: dict[str, tuple[str, ...]]
     options: tuple[str, ...]
-    choice: str | None = None
+    army: str | None = None
+    unit: str | None = None
     skipped: bool = False
 
+    @property
+    def stage(self) -> str:
+        """army, variant or done: what has to be asked next."""
+        if self.skipped or self.unit:
+            return "done"
+        return "variant" if self.army else "army"
 
-def decide(options: tuple[str, ...], pinned: str | None, detected: tuple[str, ...]) -> tuple[str, str | None]:
-    """ask, auto or skip, and the army if it is settled."""
+    def settle(self, army: str) -> Mention:
+        """In an army; its unit too if there is one only."""
+        units = self.family[army]
+        return replace(self, army=army, unit=units[0] if len(units) == 1 else None)
+
+
+def decide(options: tuple[str, ...], pinned: str | None, detected: tuple[str, ...]) -> tuple[str, tuple[str, ...]]:
+    """ask, auto or skip, and the armies left: one if it is settled. Of several armies that the question names, only those are
+    asked for."""
     if not options:
-        return "skip", None
+        return "skip", ()
     if pinned:
-        return ("auto", pinned) if pinned in options else ("skip", None)
-    near = [a for a in detected if a in options]
-    if len(near) == 1:
-        return "auto", near[0]
-    if len(options) == 1:
-        return "auto", options[0]
-    return "ask", None
+        return ("auto", (pinned,)) if pinned in options else ("skip", ())
+    near = tuple(a for a in options if a in detected)
+    left = near or options
+    return ("auto" if len(left) == 1 else "ask"), left
 
 
-def clarification_queue(spans: list[tuple[str, int, int]], armies: dict[str, tuple[str, ...]], pinned: str | None, detected: tuple[str, ...]) -> tuple[Mention, ...] | None:
-    """The mentions with what is settled already; None if nothing has to be asked or told."""
+def clarification_queue(spans: list[tuple[str, int | None, int | None]], families: dict[str, dict[str, tuple[str, ...]]], pinned: str | None, detected: tuple[str, ...]) -> tuple[Mention, ...] | None:
+    """The mentions with what is settled already; None if nothing has to be asked or told. ``families``: by name, for each army
+    its units whose rules differ."""
     out = []
     for ref, start, end in spans:
-        options = tuple(sorted(armies.get(ref, ())))
-        stage, army = decide(options, pinned, detected)
-        out.append(Mention(ref, start, end, options, army, stage == "skip"))
+        family = families.get(ref, {})
+        action, armies = decide(tuple(sorted(family)), pinned, detected)
+        mention = Mention(ref, start, end, family, armies, skipped=action == "skip")
+        out.append(mention.settle(armies[0]) if action == "auto" else mention)
     return tuple(out) if any(not m.skipped for m in out) else None
 
 
-def next_question(queue: tuple[Mention, ...]) -> int | None:
-    return next((i for i, m in enumerate(queue) if m.choice is None and not m.skipped), None)
+def next_question(queue: tuple[Mention, ...]) -> tuple[int, str, tuple[str, ...]] | None:
+    """The first open mention with what to ask, an army or one of its units, and the choices."""
+    for i, m in enumerate(queue):
+        if m.stage != "done":
+            return i, m.stage, m.options if m.stage == "army" else m.family[m.army]
+    return None
 
 
-def choose(queue: tuple[Mention, ...], i: int, army: str | None) -> tuple[Mention, ...]:
-    """A new queue; None skips the mention."""
-    if army is not None and army not in queue[i].options:
-        raise ValueError(f"{army} is no option of {queue[i].ref}")
-    return tuple(replace(m, choice=army, skipped=army is None) if k == i else m for k, m in enumerate(queue))
+def choose(queue: tuple[Mention, ...], i: int, choice: str | None) -> tuple[Mention, ...]:
+    """A new queue with an army or, once that is settled, a unit chosen; None skips the mention."""
+    m = queue[i]
+    if choice is None:
+        new = replace(m, skipped=True)
+    elif m.stage == "army" and choice in m.options:
+        new = m.settle(choice)
+    elif m.stage == "variant" and choice in m.family[m.army]:
+        new = replace(m, unit=choice)
+    else:
+        raise ValueError(f"{choice} is no option of {m.ref}")
+    return (*queue[:i], new, *queue[i + 1 :])
 
 
 def rewrite(question: str, queue: tuple[Mention, ...]) -> str:
-    """The question with each settled mention followed by its army."""
-    for m in sorted(queue, key=lambda m: -m.start):
-        if m.choice:
-            question = f"{question[: m.start]}{m.ref} ({m.choice}){question[m.end :]}"
+    """The question with each settled mention replaced by its unit and army. A mention without a place replaces its first
+    occurrence, case aside, or is appended where there is none."""
+    placed, rest = [], []
+    for m in queue:
+        if m.skipped or not m.unit:
+            continue
+        (placed if m.start is not None else rest).append(m)
+    for m in sorted(placed, key=lambda m: -m.start):
+        question = f"{question[: m.start]}{m.unit} ({m.army}){question[m.end :]}"
+    for m in rest:
+        at = question.lower().find(m.ref.lower())
+        name = f"{m.unit} ({m.army})"
+        question = f"{question} {name}" if at < 0 else f"{question[:at]}{name}{question[at + len(m.ref) :]}"
     return question
+
+
+def highlight(question: str, ref: str, start: int | None = None, end: int | None = None, mark: str = "**") -> str:
+    """The question with a span, or the first occurrence of the name, case aside, between marks."""
+    if start is None or end is None:
+        start = question.lower().find(ref.lower())
+        if start < 0:
+            return question
+        end = start + len(ref)
+    return f"{question[:start]}{mark}{question[start:end]}{mark}{question[end:]}"
+
+
+def families(chassis: DataFrame, signatures: DataFrame, units: DataFrame) -> DataFrame:
+    """``ref, army, members``: for every unit name the units that it may mean in each army, itself included, those of equal rules once.
+    ``chassis``: base, member; ``units``: unit_name, army."""
+    own = units.select(F.col("unit_name").alias("base"), F.col("unit_name").alias("member")).distinct()
+    every = chassis.select("base", "member").unionByName(own).distinct()
+    picked = one_per_signature(every, signatures)
+    return picked.groupBy(F.col("base").alias("ref"), "army").agg(F.array_sort(F.collect_set("member")).alias("members"))
+
+
+def names_a_unit(questions: DataFrame, phrases: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``qid`` of the questions (qid, text) that hold a name of several words (phrases: name) or a distinctive token (tokens: token)."""
+    lower = questions.select("qid", F.lower("text").alias("text"))
+    several = phrases.filter(F.size(F.split("name", " ")) > 1).select(F.lower("name").alias("needle")).distinct()
+    by_name = substring_pairs(several, lower).select("qid")
+    by_token = lower.select("qid", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(tokens.select("token").distinct(), "token").select("qid")
+    return by_name.unionByName(by_token).distinct()
+
+
+def faction_words(factions: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``word, faction``: names of factions and the faction keywords of their units, lower-cased; of a word given several times the last
+    row counts. ``factions``: name, pos; ``keywords``: keyword, faction, pos."""
+    rows = factions.select(F.lower("name").alias("word"), F.col("name").alias("faction"), F.lit(0).alias("step"), F.col("pos").cast("bigint"))
+    rows = rows.unionByName(keywords.select(F.lower("keyword").alias("word"), "faction", F.lit(1).alias("step"), F.col("pos").cast("bigint")))
+    return rows.filter(F.length("word") > 0).groupBy("word").agg(F.max_by("faction", F.struct("step", "pos", "faction")).alias("faction"))

@@ -10,6 +10,7 @@ from scriptorium.operators import audit, blocks, chunking, depgraph, incremental
 from scriptorium.plans.registry import query
 from scriptorium.plans.text_queries import SQL_KEY, SQL_TURNS, sql, turns
 from scriptorium.sources.conversations import titles
+from scriptorium.session import join_small, settle
 from scriptorium.sources.tables import table
 
 
@@ -30,7 +31,8 @@ SQL_CHUNKS = "(SELECT DISTINCT chunk_id, block_name, text, " + ", ".join(f"meta[
 def dim_lookup_fallback(spark: SparkSession, folder: str) -> DataFrame:
     rows = blocks.lookup(table(spark, folder, "supplier"), table(spark, folder, "nation"), "s_nationkey", "n_nationkey", "n_name", "n_nationkey", "nation")
     nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
-    rows = rows.join(F.broadcast(nation), "s_nationkey", "left").join(F.broadcast(table(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey")), "n_regionkey", "left")
+    rows = join_small(rows, nation, ["s_nationkey"], "left")
+    rows = join_small(rows, table(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey"), ["n_regionkey"], "left")
     return rows.select("s_suppkey", "nation", F.coalesce("r_name", F.lit("none")).alias("region"))
 
 
@@ -66,32 +68,6 @@ def first_row_group_names(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.distinct_in_order(names, "l_partkey", "s_name", "l_orderkey", "suppliers")
 
 
-@query(
-    """WITH o AS (SELECT chunk_id AS key, min(md5(text)) AS hash FROM chunk_snapshots WHERE snapshot_no = 1 GROUP BY 1), n AS (SELECT chunk_id AS key, min(md5(text)) AS hash FROM chunk_snapshots WHERE snapshot_no = 2 GROUP BY 1)
-SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.key IS NULL THEN 'removed' WHEN o.hash IS NOT DISTINCT FROM n.hash AND o.key IS NOT NULL THEN 'skipped' ELSE 'written' END AS action FROM o FULL JOIN n ON o.key = n.key"""
-)
-def manifest_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """What the second delivery makes one write, skip and remove after the first."""
-    rows = table(spark, folder, "chunk_snapshots").select("snapshot_no", "chunk_id", "text")
-    old, new = (incremental.manifest(rows.filter(F.col("snapshot_no") == n), "chunk_id", "text") for n in (1, 2))
-    return incremental.manifest_diff(old, new)
-
-
-@query("SELECT DISTINCT chunk_id FROM chunk_snapshots a WHERE snapshot_no = 1 AND EXISTS (SELECT 1 FROM chunk_snapshots b WHERE b.snapshot_no = 2 AND b.chunk_id = a.chunk_id)")
-def reconcile_deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    """The first delivery without chunks that the second no longer has."""
-    rows = table(spark, folder, "chunk_snapshots")
-    live, valid = (rows.filter(F.col("snapshot_no") == n).select("chunk_id").distinct() for n in (1, 2))
-    return incremental.reconcile(live, valid, "chunk_id")
-
-
-@query("SELECT chunk_id, max(text) AS text FROM chunk_snapshots WHERE snapshot_no = 2 GROUP BY chunk_id UNION ALL SELECT chunk_id, max(text) FROM chunk_snapshots a WHERE snapshot_no = 1 AND NOT EXISTS (SELECT 1 FROM chunk_snapshots b WHERE b.snapshot_no = 2 AND b.chunk_id = a.chunk_id) GROUP BY chunk_id")
-def upsert_deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "chunk_snapshots")
-    old, new = (rows.filter(F.col("snapshot_no") == n).groupBy("chunk_id").agg(F.max("text").alias("text")) for n in (1, 2))
-    return incremental.upsert(old, new, "chunk_id")
-
-
 @query(
     """WITH e AS (SELECT min(snapshot_no) AS lo, max(snapshot_no) AS hi FROM chunk_snapshots), m AS (SELECT snapshot_no AS no, chunk_id AS key, min(md5(coalesce(text, ''))) AS hash FROM chunk_snapshots WHERE snapshot_no IS NOT NULL GROUP BY 1, 2),
 o AS (SELECT no + 1 AS no, key, hash FROM m, e WHERE no < hi), n AS (SELECT no, key, hash FROM m, e WHERE no > lo)
@@ -117,11 +93,11 @@ def reconcile_each(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """WITH l AS (SELECT chunk_id, max(snapshot_no) AS snapshot_no FROM chunk_snapshots WHERE snapshot_no IS NOT NULL GROUP BY 1)
-SELECT l.chunk_id, l.snapshot_no, max(c.text) AS text FROM l JOIN chunk_snapshots c ON c.snapshot_no = l.snapshot_no AND c.chunk_id IS NOT DISTINCT FROM l.chunk_id GROUP BY 1, 2"""
+SELECT chunk_id, snapshot_no, text FROM (SELECT l.chunk_id, l.snapshot_no, c.text, row_number() OVER (PARTITION BY l.chunk_id ORDER BY c.delivered_at DESC NULLS LAST, c.text DESC NULLS LAST) AS n FROM l JOIN chunk_snapshots c ON c.snapshot_no = l.snapshot_no AND c.chunk_id IS NOT DISTINCT FROM l.chunk_id) WHERE n = 1"""
 )
 def upsert_all(spark: SparkSession, folder: str) -> DataFrame:
     """All deliveries upserted in order, with the number of the last that gave the chunk."""
-    return incremental.fold(table(spark, folder, "chunk_snapshots"), "snapshot_no", "chunk_id", "text")
+    return incremental.fold(table(spark, folder, "chunk_snapshots"), "snapshot_no", "chunk_id", "text", "delivered_at")
 
 
 @query(f"SELECT unit_name, string_agg(DISTINCT army, ',' ORDER BY army) AS armies FROM {SQL_CHUNKS} WHERE unit_name <> '' AND army <> '' GROUP BY unit_name")
@@ -196,7 +172,7 @@ def depgraph_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {SQL_RULES} SELECT src, dep FROM edges UNION SELECT a.src, b.dep FROM edges a JOIN edges b ON a.dep = b.src WHERE a.src <> b.dep")
 def depgraph_one_hop(spark: SparkSession, folder: str) -> DataFrame:
-    return depgraph.with_one_hop(depgraph.name_edges(_rules(spark, folder)))
+    return depgraph.with_one_hop(settle(depgraph.name_edges(_rules(spark, folder)), "edges"))
 
 
 @query(
@@ -207,7 +183,7 @@ CASE WHEN found + "true" = 0 THEN 1.0 WHEN hit = 0 THEN 0.0 ELSE 2 * (hit / foun
 )
 def depgraph_prf(spark: SparkSession, folder: str) -> DataFrame:
     """Precision and recall of the widened graph against the plain one."""
-    edges = depgraph.name_edges(_rules(spark, folder))
+    edges = settle(depgraph.name_edges(_rules(spark, folder)), "edges")
     return depgraph.edge_scores(depgraph.with_one_hop(edges), edges)
 
 

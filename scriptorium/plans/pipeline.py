@@ -37,9 +37,11 @@ def build_context(questions: DataFrame, corpus: Corpus, pack_on: bool = True, re
     documents = chunks.select(F.col("chunk_id").alias("id"), "text")
     named = chunks.select(F.col("chunk_id").alias("id"), T.display_name(F.lit(None).cast("string"), F.col("breadcrumb")).alias("name"))
     found = lexical.lexical_search(documents, expanded, lexical.exact_names(named, expanded), s).select("qid", "id", F.col("sim").alias("cosine"))
+    found = settle(found, "found")
     units = resolve.named_units(asked, chunks.filter("unit_name <> ''").select(F.col("unit_name").alias("name")).distinct())
     of_unit = chunks.filter(F.col("category").isin(*s.unit_categories)).select(F.col("chunk_id").alias("id"), F.lower("unit_name").alias("name"))
-    slices = units.join(of_unit, "name").select("qid", "id", F.lit(0.0).alias("cosine"))
+    # A unit's chunks take over the cosine of the search where it found them too.
+    slices = units.join(of_unit, "name").join(found.withColumnRenamed("cosine", "near"), ["qid", "id"], "left").select("qid", "id", F.coalesce("near", F.lit(0.0)).alias("cosine"))
     pool = found.withColumn("origin", F.lit("main")).unionByName(slices.withColumn("origin", F.lit("unit")))
     # Later stages read the candidates many times, so they are computed once.
     rows = settle(pool, "candidates").join(chunks.withColumnRenamed("chunk_id", "id"), "id")
@@ -55,8 +57,7 @@ def build_context(questions: DataFrame, corpus: Corpus, pack_on: bool = True, re
     scored = scored.withColumn("score", F.round(score, 6)).withColumn("pos", F.row_number().over(order)).withColumn("unit", F.col("unit_name"))
     scored = settle(scored, "scored")
     rules = scored.filter(F.col("category").isin(s.core_category, s.pack_category))
-    reserved = rank.reserve_units(rank.first_per_key(scored.filter("origin = 'unit'")), s)
-    result = settle(rank.assemble(reserved, rules, scored.filter("origin = 'main'"), s), "assembled")
+    result = settle(rank.assemble(scored.filter("origin = 'unit'"), rules, scored.filter("origin = 'main'"), s), "assembled")
     detail = chunks.select(F.col("chunk_id").alias("id"), "text", "section_group", F.col("seq").cast("int").alias("seq"), F.coalesce(F.nullif("unit_name", F.lit("")), "category", F.lit("Rule")).alias("name"), F.coalesce("army", F.lit("")).alias("army"))
     placed = result.join(detail, "id")
     sequenced = placed.filter("section_group is not null and seq is not null").select("qid", F.col("section_group").alias("group"), "seq", "place")

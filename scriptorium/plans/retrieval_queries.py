@@ -10,6 +10,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators import dense, lexical, rank
 from scriptorium.plans.registry import query
 from scriptorium.plans.text_queries import SQL_KEY, SQL_STOP, SQL_TOKENS, SQL_TURNS, sql, turns
+from scriptorium.session import settle
 from scriptorium.sources.tables import table
 
 
@@ -113,18 +114,22 @@ def dense_topk_threshold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pool(spark: SparkSession, folder: str) -> DataFrame:
-    """Dense candidates with a category, a unit and a stand-in rerank score that a model would give."""
+    """Dense candidates with a category, a unit and a stand-in rerank score that a model would give; ``key`` is the content key of the
+    document of the same number, of which some are equal."""
     labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "label")
     category = F.when(F.col("label") == 0, S.core_category).when(F.col("label") == 1, S.pack_category).otherwise("Ability")
     rows = _nearest(spark, folder, S.rerank_candidates).join(labels, "id").withColumn("category", category)
     rerank = F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.round(T.sigmoid(8 * F.col("cosine") - 4), 6))
     rows = rows.withColumn("rerank", rerank).withColumn("score", F.round(rank.blended_score(F.col("rerank"), F.col("cosine"), F.col("category")), 6))
-    return rows.select("qid", "id", F.col("rank").alias("pos"), "cosine", "label", "category", "rerank", "score", F.col("id").cast("string").alias("key"))
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), T.content_key(F.col("text")).alias("key"))
+    rows = rows.join(texts, "id", "left").withColumn("key", F.coalesce("key", F.col("id").cast("string")))
+    return settle(rows.select("qid", "id", F.col("rank").alias("pos"), "cosine", "label", "category", "rerank", "score", "key"), "pool")
 
 
 SQL_POOL = f"""{SQL_DENSE.format(k=48)},
-cand AS (SELECT *, rank AS pos, id::VARCHAR AS key, round(CASE WHEN rerank IS NULL THEN cosine ELSE greatest(rerank, 0.4 * cosine) END + CASE category WHEN 'Muster_Pack' THEN 0.002 WHEN 'Core_Rules' THEN 0.001 ELSE 0 END, 6) AS score FROM (
-  SELECT *, CASE label WHEN 0 THEN 'Core_Rules' WHEN 1 THEN 'Muster_Pack' ELSE 'Ability' END AS category, CASE WHEN id % 7 = 0 THEN NULL ELSE round(1 / (1 + exp(-(8 * cosine - 4))), 6) END AS rerank FROM pool))"""
+doc AS (SELECT doc_id AS id, {sql(SQL_KEY, "coalesce(text, '')")} AS key FROM documents),
+cand AS (SELECT *, rank AS pos, round(CASE WHEN rerank IS NULL THEN cosine ELSE greatest(rerank, 0.4 * cosine) END + CASE category WHEN 'Muster_Pack' THEN 0.002 WHEN 'Core_Rules' THEN 0.001 ELSE 0 END, 6) AS score FROM (
+  SELECT *, CASE label WHEN 0 THEN 'Core_Rules' WHEN 1 THEN 'Muster_Pack' ELSE 'Ability' END AS category, CASE WHEN id % 7 = 0 THEN NULL ELSE round(1 / (1 + exp(-(8 * cosine - 4))), 6) END AS rerank FROM (SELECT pool.*, coalesce(doc.key, pool.id::VARCHAR) AS key FROM pool LEFT JOIN doc USING (id))))"""
 
 
 @query(f"WITH {SQL_POOL} SELECT qid, id, category, score FROM cand")
@@ -145,64 +150,59 @@ def per_group_reservation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_RESERVED},
-rules AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS r FROM cand WHERE label <= 1) WHERE r <= 4),
+    f"""WITH {SQL_POOL},
+once AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY pos) AS n FROM cand),
+rfirst AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY pos) AS n FROM cand WHERE label <= 1),
+rules AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS r FROM rfirst WHERE n = 1) WHERE r <= 4),
+ufirst AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY pos) AS n FROM cand WHERE label > 1),
+free AS (SELECT * FROM ufirst u WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.qid = u.qid AND r.key = u.key)),
+b AS (SELECT *, CASE WHEN score >= max(score) OVER (PARTITION BY qid, label) - 0.05 THEN max(score) OVER (PARTITION BY qid, label) ELSE score END AS bucket FROM free),
+p AS (SELECT *, row_number() OVER w AS place, first_value(score) OVER w AS first FROM b WINDOW w AS (PARTITION BY qid, label ORDER BY bucket DESC, cosine DESC, pos)),
+units AS (SELECT * FROM p WHERE place = 1 OR (place <= 2 AND (first < 0.1 OR score >= 0.3 * first))),
 own AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, pos) = 1 THEN 1 ELSE 3 END AS tier FROM units),
-res AS (SELECT qid, id, pos, score, tier FROM own UNION ALL SELECT qid, id, pos, score, 2 FROM rules),
-rest AS (SELECT c.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS r FROM cand c WHERE score >= 0 AND NOT EXISTS (SELECT 1 FROM res WHERE res.qid = c.qid AND res.id = c.id) AND NOT EXISTS (SELECT 1 FROM own WHERE own.qid = c.qid AND own.label = c.label)),
-al AS (SELECT * FROM res UNION ALL SELECT rest.qid, id, pos, score, 4 FROM rest LEFT JOIN (SELECT qid, count(*) AS taken FROM res GROUP BY qid) t ON t.qid = rest.qid WHERE r <= greatest(0, 8 - coalesce(taken, 0)))
+res AS (SELECT qid, id, key, pos, score, tier FROM own UNION ALL SELECT qid, id, key, pos, score, 2 FROM rules),
+rest AS (SELECT c.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS r FROM once c WHERE n = 1 AND score >= 0 AND NOT EXISTS (SELECT 1 FROM res WHERE res.qid = c.qid AND res.key = c.key) AND NOT EXISTS (SELECT 1 FROM own WHERE own.qid = c.qid AND own.label = c.label)),
+al AS (SELECT qid, id, pos, score, tier FROM res UNION ALL SELECT rest.qid, id, pos, score, 4 FROM rest LEFT JOIN (SELECT qid, count(*) AS taken FROM res GROUP BY qid) t ON t.qid = rest.qid WHERE r <= greatest(0, 8 - coalesce(taken, 0)))
 SELECT qid, id, tier::INTEGER AS tier, score, row_number() OVER (PARTITION BY qid ORDER BY tier, score DESC, pos) AS place FROM al"""
 )
 def assemble_tiers(spark: SparkSession, folder: str) -> DataFrame:
     """Reserved units, rules and fill, in output order."""
     pool = _pool(spark, folder).withColumn("unit", F.col("label"))
-    return rank.assemble(rank.reserve_units(pool.filter("label > 1")), pool.filter("label <= 1"), pool)
+    return rank.assemble(pool.filter("label > 1"), pool.filter("label <= 1"), pool)
 
 
 @query(
     f"""WITH {SQL_POOL},
-seeds AS (SELECT qid, key, cosine AS bridge, [(id - 1)::VARCHAR, (id + 1)::VARCHAR, (id + 2)::VARCHAR] AS parents, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, key) - 1 AS i FROM cand WHERE pos <= 12),
-f AS (SELECT s.qid, s.key, min(c.score) AS floor FROM (SELECT qid, key, unnest(parents) AS parent FROM seeds) s JOIN cand c ON c.qid = s.qid AND c.key = s.parent GROUP BY ALL)
+named AS (SELECT * REPLACE (id::VARCHAR AS key) FROM cand),
+seeds AS (SELECT qid, key, cosine AS bridge, [(id - 1)::VARCHAR, (id + 1)::VARCHAR, (id + 2)::VARCHAR] AS parents, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, key) - 1 AS i FROM named),
+f AS (SELECT s.qid, s.key, min(c.score) AS floor FROM (SELECT qid, key, unnest(parents) AS parent FROM seeds) s JOIN named c ON c.qid = s.qid AND c.key = s.parent GROUP BY ALL)
 SELECT qid, key, round(floor - 0.02 - i * 0.001, 4) AS override FROM seeds LEFT JOIN f USING (qid, key)"""
 )
 def parent_cap(spark: SparkSession, folder: str) -> DataFrame:
-    """Seeds kept below their weakest parent; the parents are the rows with neighbouring ids."""
-    pool = _pool(spark, folder)
-    parents = F.array(*[(F.col("id") + d).cast("string") for d in (-1, 1, 2)])
-    seeds = pool.filter("pos <= 12").select("qid", "key", F.col("cosine").alias("bridge"), parents.alias("parent_keys"))
-    return rank.cap_below_parents(seeds, pool).select("qid", "key", "override")
-
-
-@query(
-    f"""WITH {SQL_POOL},
-seeds AS (SELECT qid, key, cosine AS bridge, [(id - 1)::VARCHAR, (id + 1)::VARCHAR, (id + 2)::VARCHAR] AS parents, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, key) - 1 AS i FROM cand),
-f AS (SELECT s.qid, s.key, min(c.score) AS floor FROM (SELECT qid, key, unnest(parents) AS parent FROM seeds) s JOIN cand c ON c.qid = s.qid AND c.key = s.parent GROUP BY ALL)
-SELECT qid, key, round(floor - 0.02 - i * 0.001, 4) AS override FROM seeds LEFT JOIN f USING (qid, key)"""
-)
-def parent_cap_all(spark: SparkSession, folder: str) -> DataFrame:
     """All rows as seeds, kept below their weakest parent; the parents are the rows with neighbouring ids."""
-    pool = _pool(spark, folder)
+    pool = _pool(spark, folder).withColumn("key", F.col("id").cast("string"))
     parents = F.array(*[(F.col("id") + d).cast("string") for d in (-1, 1, 2)])
     seeds = pool.select("qid", "key", F.col("cosine").alias("bridge"), parents.alias("parent_keys"))
     return rank.cap_below_parents(seeds, pool).select("qid", "key", "override")
 
 
 @query(
-    f"""WITH {SQL_DENSE.format(k=10)}, {SQL_LEXICAL.replace("toks AS (SELECT doc_id AS id", "toks AS (SELECT doc_id AS id", 1)},
-a AS (SELECT i.item_id AS qid, v.vec_id AS id, v.vec_id::VARCHAR AS key, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM eval_items i JOIN embeddings e ON e.vec_id = i.item_id, embeddings v WHERE v.vec_id <> e.vec_id),
-d AS (SELECT qid, id, key, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS n FROM a) WHERE n <= 10),
-l AS (SELECT lex.qid, lex.id, {sql(SQL_KEY, 't.text')} AS key, lex.sim AS score FROM lex JOIN documents t ON t.doc_id = lex.id)
+    f"""WITH {SQL_LEXICAL},
+doc AS (SELECT doc_id AS id, {sql(SQL_KEY, "coalesce(text, '')")} AS key FROM documents),
+a AS (SELECT i.item_id AS qid, v.vec_id AS id, coalesce(doc.key, v.vec_id::VARCHAR) AS key, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM eval_items i JOIN embeddings e ON e.vec_id = i.item_id, embeddings v LEFT JOIN doc ON doc.id = v.vec_id WHERE v.vec_id <> e.vec_id),
+d AS (SELECT qid, id, key, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS n FROM a) WHERE n <= 48),
+l AS (SELECT lex.qid, lex.id, doc.key, lex.sim AS score FROM lex JOIN doc ON doc.id = lex.id)
 SELECT qid, id, score, 'dense' AS origin FROM d UNION ALL SELECT qid, id, score, 'lexical' FROM (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY score DESC, id) AS n FROM l WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.qid = l.qid AND d.key = l.key)) WHERE n = 1"""
 )
 def hybrid_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    """Dense rows of the items that have a vector, then lexical ones of other contents."""
+    """Dense rows of the items that have a vector, then lexical ones of other contents. A vector stands for the document of its number."""
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = table(spark, folder, "eval_items").select(F.col("item_id").alias("id"))
-    near = dense.dense_topk(vectors, vectors.join(asked, "id").withColumnRenamed("id", "qid"), 10)
-    near = near.select("qid", "id", F.col("id").cast("string").alias("key"), F.col("cosine").alias("score"))
+    near = dense.dense_topk(vectors, vectors.join(asked, "id").withColumnRenamed("id", "qid"), S.rerank_candidates)
     texts = _documents(spark, folder).select("id", T.content_key(F.col("text")).alias("key"))
+    near = near.join(texts, "id", "left").select("qid", "id", F.coalesce("key", F.col("id").cast("string")).alias("key"), F.col("cosine").alias("score"))
     found = lexical.lexical_search(_documents(spark, folder), _questions(spark, folder)).join(texts, "id").select("qid", "id", "key", F.col("sim").alias("score"))
-    return dense.fuse(near, found).select("qid", "id", "score", "origin")
+    return dense.fuse(settle(near, "near"), found).select("qid", "id", "score", "origin")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,8 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
     empty table of those."""
     try:
         df = spark.read.option("header", True).option("sep", separator).option("inferSchema", False).option("multiLine", True).csv(path)
-    except Exception:  # noqa: BLE001 - Spark raises AnalysisException for a missing path
-        if columns is None:
+    except AnalysisException as error:
+        if columns is None or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     named = [(c, c.replace("﻿", "").strip()) for c in df.columns]

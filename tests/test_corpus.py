@@ -68,16 +68,35 @@ def test_routes_keep_the_pack_out(spark):
 
 
 def test_clarification_is_pure():
-    armies = {"Guard": ("blue", "red"), "Wolf": ("red",), "Ghost": ()}
-    queue = resolve.clarification_queue([("Guard", 8, 13), ("Wolf", 20, 24), ("Ghost", 30, 35)], armies, None, ())
-    assert resolve.next_question(queue) == 0 and queue[1].choice == "red" and queue[2].skipped
-    done = resolve.choose(queue, 0, "blue")
-    assert resolve.next_question(done) is None and queue[0].choice is None
-    assert resolve.rewrite("Can the Guard fight Wolf now?", resolve.clarification_queue([("Guard", 8, 13)], armies, "red", ())) == "Can the Guard (red) fight Wolf now?"
-    assert resolve.clarification_queue([("Ghost", 0, 5)], armies, None, ()) is None
-    assert resolve.decide(("a", "b"), None, ("b", "c")) == ("auto", "b") and resolve.decide(("a",), "b", ()) == ("skip", None)
-    with pytest.raises(ValueError):
-        resolve.choose(queue, 0, "green")
+    families = {"Guard": {"blue": ("Guard",), "red": ("Guard", "Old Guard")}, "Wolf": {"red": ("Wolf",)}, "Ghost": {}}
+    queue = resolve.clarification_queue([("Guard", 8, 13), ("Wolf", 20, 24), ("Ghost", 30, 35)], families, None, ())
+    assert resolve.next_question(queue) == (0, "army", ("blue", "red")) and queue[1].unit == "Wolf" and queue[2].skipped
+    assert resolve.next_question(resolve.choose(queue, 0, "blue")) is None and queue[0].army is None
+    red = resolve.choose(queue, 0, "red")
+    assert resolve.next_question(red) == (0, "variant", ("Guard", "Old Guard"))
+    assert resolve.rewrite("Can the Guard fight Wolf now?", resolve.choose(red, 0, "Old Guard")[:1]) == "Can the Old Guard (red) fight Wolf now?"
+    assert resolve.rewrite("Can the wolf howl?", resolve.clarification_queue([("Wolf", None, None)], families, None, ())) == "Can the Wolf (red) howl?"
+    assert resolve.rewrite("Who?", resolve.clarification_queue([("Wolf", None, None)], families, None, ())) == "Who? Wolf (red)"
+    assert resolve.clarification_queue([("Ghost", 0, 5)], families, None, ()) is None and resolve.next_question(resolve.choose(queue, 0, None)) is None
+    assert resolve.decide(("a", "b"), None, ("b", "c")) == ("auto", ("b",)) and resolve.decide(("a",), "b", ()) == ("skip", ())
+    assert resolve.decide(("a", "b", "c"), None, ("c", "a")) == ("ask", ("a", "c")) and resolve.decide(("a", "b"), "b", ()) == ("auto", ("b",))
+    assert resolve.highlight("Can the guard go?", "Guard") == "Can the **guard** go?" and resolve.highlight("x", "y") == "x"
+    for wrong in ((queue, 0, "green"), (red, 0, "blue")):
+        with pytest.raises(ValueError):
+            resolve.choose(*wrong)
+
+
+def test_units_that_questions_name(spark):
+    asked = spark.createDataFrame([(1, "Do the Stone Guards move?"), (2, "What do harriers do?"), (3, "Who moves?"), (4, None)], "qid int, text string")
+    phrases, tokens = spark.createDataFrame([("Stone Guard",), ("Who",)], "name string"), spark.createDataFrame([("harriers",)], "token string")
+    assert {r.qid for r in resolve.names_a_unit(asked, phrases, tokens).collect()} == {1, 2}
+    factions, words = spark.createDataFrame([("Fox", 1), ("Gnu", 2)], "name string, pos int"), spark.createDataFrame([("FOX", "Gnu", 1), ("Red", "Fox", 2), ("red", "Gnu", 3)], "keyword string, faction string, pos int")
+    assert {r.word: r.faction for r in resolve.faction_words(factions, words).collect()} == {"fox": "Gnu", "gnu": "Gnu", "red": "Gnu"}
+    chassis = spark.createDataFrame([("Guard", "Old Guard")], "base string, member string")
+    signatures = spark.createDataFrame([("Guard", "red", "x"), ("Old Guard", "red", "y"), ("Guard", "blue", "z"), ("Old Guard", "blue", "z")], "unit_name string, army string, signature string")
+    units = signatures.select("unit_name", "army")
+    got = {(r.ref, r.army): r.members for r in resolve.families(chassis, signatures, units).collect()}
+    assert got["Guard", "red"] == ["Guard", "Old Guard"] and got["Guard", "blue"] == ["Guard"] and got["Old Guard", "blue"] == ["Old Guard"]
 
 
 def test_graph(spark):

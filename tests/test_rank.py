@@ -24,7 +24,7 @@ def test_reservation(spark):
 
 def test_assembly_fills_to_top_k(spark):
     schema = "qid int, id string, key string, unit string, pos int, score double"
-    units = spark.createDataFrame([(1, "u1", "k1", "u", 1, 0.5), (1, "u2", "k2", "u", 2, 0.4)], schema)
+    units = spark.createDataFrame([(1, "u0", "kr0", "u", 0, 0.9, 0.3), (1, "u1", "k1", "u", 1, 0.5, 0.2), (1, "u2", "k2", "u", 2, 0.4, 0.1), (1, "u9", "k2", "u", 9, 0.5, 0.9)], schema + ", cosine double")
     rules = spark.createDataFrame([(1, f"r{i}", f"kr{i}", None, i, 0.9 - i / 100) for i in range(6)], schema)
     main = spark.createDataFrame([(1, f"m{i}", f"km{i}", None if i else "u", i, 0.8 - i / 100) for i in range(9)] + [(1, "dup", "km1", None, 99, 0.99), (2, "only", "x", None, 1, 0.1)], schema)
     rows = rank.assemble(units, rules, main).orderBy("qid", "place").collect()
@@ -94,5 +94,5 @@ def test_settings_reach_the_operators(spark):
 def test_whole_pool_is_seeded(spark, data):
     from scriptorium.plans.catalogue import QUERIES
 
-    most = QUERIES["parent_cap_all"](spark, data).groupBy("qid").count().agg(F.max("count")).first()[0]
+    most = QUERIES["parent_cap"](spark, data).groupBy("qid").count().agg(F.max("count")).first()[0]
     assert most == Settings().rerank_candidates
