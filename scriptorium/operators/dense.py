@@ -16,9 +16,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, block: int = 512) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, block: int = 512, same: bool = True) -> DataFrame:
     """``qid, id, cosine, rank``: the ``k`` nearest ``vectors`` (id, vector) of each query (qid, vector), itself (equal id)
-    left out; ties by id. Cosines are rounded to six digits before ranking; a zero vector has cosine 0. The commonest length of the
+    left out unless ``same`` is off, as it is where queries and vectors are numbered apart; ties by id. Cosines are rounded to six digits before ranking; a zero vector has cosine 0. The commonest length of the
     queries counts, of several the greatest; null vectors and those of another length take no part. ``threshold`` filters on the cosine after ranking.
 
     Each task multiplies its batches with a block of queries and passes on only its own ``k`` best per query, so the shuffle
@@ -48,7 +48,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
                 if not len(ids):
                     continue
                 cosine = np.round(matrix @ _unit(flat.reshape(len(ids), width)).T, 6)
-                cosine[qids[:, None] == ids[None, :]] = -np.inf
+                if same:
+                    cosine[qids[:, None] == ids[None, :]] = -np.inf
                 c, i = np.hstack([best_c, cosine]), np.hstack([best_i, np.broadcast_to(ids, cosine.shape)])
                 order = np.lexsort((i, -c), axis=1)[:, :k]
                 best_c, best_i = np.take_along_axis(c, order, 1), np.take_along_axis(i, order, 1)
