@@ -44,6 +44,12 @@ class Settings:
     editions: tuple[str, ...] = ("10e", "11e")
     core_category: str = "Core_Rules"
     pack_category: str = "Muster_Pack"
+    pack_name: str = "Muster Pack"
+    core_phrases: tuple[str, ...] = (
+        "core rule", "universal rule", "in every army", "basic rule", "all armies", "always active", "mission rule", "secondary mission",
+        "primary mission", "tournament", "matched play", "victory points", "embark", "disembark", "riding in",
+    )
+    core_words: tuple[str, ...] = ("vp", "scoring", "transport", "inside")
     unit_categories: tuple[str, ...] = ("Datasheet", "Ability", "Datasheet_Section")
     rule_categories: tuple[str, ...] = ("Army_Rule", "Detachment_Rule")
     sequences: dict[str, list[str]] = field(default_factory=dict)
@@ -66,6 +72,14 @@ def check(s: Settings) -> None:
         "budget is positive": s.context_token_budget > 0 and s.token_char_ratio > 0,
         "default edition is known": s.default_edition in s.editions,
         "editions are distinct": len(set(s.editions)) == len(s.editions),
+        "core rules and pack differ": s.core_category != s.pack_category and s.pack_name.strip() != "",
+        "phrases that mean core rules are lower-case": all(p and p == p.lower() for p in (*s.core_phrases, *s.core_words)),
+        "candidates of a unit are at most those of the result": s.unit_chunks_per_unit <= s.top_k,
+        "saturation and rest gate are shares": 0 <= s.unit_saturation <= 1 and 0 <= s.rest_gate <= 1,
+        "second rows need less than first ones": 0 <= s.unit_second_floor <= 1,
+        "BM25 constants": s.bm25_k1 >= 0 and 0 <= s.bm25_b <= 1 and s.bm25_epsilon >= 0,
+        "segments": s.segment_max >= 1 and 0 <= s.segment_tiebreak < 1,
+        "sequences name each stem once": all(len(set(v)) == len(v) for v in s.sequences.values()),
         "category groups are disjoint": not set(s.unit_categories) & set(s.rule_categories),
     }
     for f in fields(s):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,20 +134,21 @@ def top_per_question(scored: DataFrame, k: int, order: list | None = None) -> Da
     return scored.withColumn("rank", F.row_number().over(by).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def lexical_search(documents: DataFrame, questions: DataFrame, exact: DataFrame | None = None, s: Settings = SETTINGS) -> DataFrame:
+def lexical_search(documents: DataFrame, questions: DataFrame, exact: DataFrame | None = None, s: Settings = SETTINGS, admitted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``qid, id, sim, step`` of at most ``lexical_inject_max`` documents per question: first those whose name the question
     holds (``exact``: qid, id), then the best by BM25 that hold enough of the question's content terms. The cut to
-    ``lexical_candidates`` comes before the gate; the pseudo-similarity is relative to the best score of the whole corpus."""
+    ``lexical_candidates`` comes before the gate; the pseudo-similarity is relative to the best score of the whole corpus. ``admitted`` keeps those
+    of its ``qid, id`` rows that pass a filter; it comes after that cut too."""
     terms = questions.select("qid", F.size(T.content_terms(F.col("text"))).alias("terms")).filter("terms > 0")
     best = bm25_topk(documents, questions, s.lexical_candidates, s)
     top = best.withColumn("top", F.max("score").over(Window.partitionBy("qid"))).filter("score > 0")
-    gated = top.join(terms, "qid").filter(F.col("matched") / F.col("terms") >= s.lexical_min_overlap)
+    gated = (admitted(top) if admitted else top).join(terms, "qid").filter(F.col("matched") / F.col("terms") >= s.lexical_min_overlap)
     span = s.lexical_sim_ceiling - s.lexical_sim_floor
     second = gated.select("qid", "id", F.round(s.lexical_sim_floor + span * F.col("score") / F.col("top"), 3).alias("sim"), F.lit(2).alias("step"), "rank")
     if exact is None:
         joined = second
     else:
-        first = exact.select("qid", "id").distinct().join(terms, "qid", "left_semi").select("qid", "id", F.lit(s.lexical_sim_ceiling).alias("sim"), F.lit(1).alias("step"), F.lit(0).cast("bigint").alias("rank"))
+        first = (admitted(exact.select("qid", "id")) if admitted else exact.select("qid", "id")).distinct().join(terms, "qid", "left_semi").select("qid", "id", F.lit(s.lexical_sim_ceiling).alias("sim"), F.lit(1).alias("step"), F.lit(0).cast("bigint").alias("rank"))
         joined = first.unionByName(second.join(first, ["qid", "id"], "left_anti"))
     by = Window.partitionBy("qid").orderBy("step", "rank", "id")
     return joined.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= s.lexical_inject_max).select("qid", "id", "sim", "step")

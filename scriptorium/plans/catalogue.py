@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators import delimited, snapshots
-from scriptorium.plans import corpus_queries, retrieval_queries, text_queries  # noqa: F401 - they register themselves
+from scriptorium.plans import corpus_queries, question_queries, retrieval_queries, text_queries  # noqa: F401 - they register themselves
 from scriptorium.plans.registry import ORACLES, QUERIES, query
 from scriptorium.sources.tables import table
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.config import SETTINGS as S
 from scriptorium.functions import text as T
 from scriptorium.operators import audit, blocks, chunking, depgraph, incremental, matching, resolve
+from scriptorium.plans import pipeline
 from scriptorium.plans.registry import query
-from scriptorium.plans.text_queries import SQL_KEY, SQL_TURNS, sql, turns
+from scriptorium.plans.text_queries import SQL_KEY, SQL_STOP, SQL_TOKENS, SQL_TURNS, sql, turns
 from scriptorium.sources.conversations import titles
 from scriptorium.session import join_small, settle
 from scriptorium.sources.tables import table
@@ -187,24 +189,31 @@ def depgraph_prf(spark: SparkSession, folder: str) -> DataFrame:
     return depgraph.edge_scores(depgraph.with_one_hop(edges), edges)
 
 
-CORE_PHRASES = ["core rule", "first", "in every army", "basic rule", "explain how"]
-CORE_WORDS = ["vp", "scoring", "transport", "inside", "step"]
-_SQL_FACTION = "(SELECT min(name) FROM factions f WHERE contains(q, lower(f.name)))"
+_UNIT_CATEGORIES = "('" + "', '".join(S.unit_categories) + "')"
+_SQL_CORE = f"contains(q, '{S.pack_name.lower()}') OR regexp_matches(q, '\\b({'|'.join(S.core_words)})\\b') OR " + " OR ".join(f"contains(q, '{p}')" for p in S.core_phrases)
+_SQL_STEM = "CASE " + " ".join(f"WHEN ends_with(token, '{x}') AND len(token) - {len(x)} >= 3 THEN token[: len(token) - {len(x)}]" for x in ("ing", "ed", "es", "s")) + " ELSE token END"
 
 
 @query(
-    f"""WITH a AS (SELECT id, pos, lower(content) AS q FROM ({SQL_TURNS}) WHERE role = 'user'), r AS (SELECT *, {_SQL_FACTION} AS faction,
-  contains(q, 'muster pack') OR regexp_matches(q, '\\b({"|".join(CORE_WORDS)})\\b') OR {" OR ".join(f"contains(q, '{p}')" for p in CORE_PHRASES)} AS core FROM a)
-SELECT id, pos, faction, CASE WHEN faction IS NOT NULL AND core THEN 'faction+core+pack' WHEN faction IS NOT NULL THEN 'faction+pack' WHEN contains(q, ' pikes') THEN 'all' ELSE 'core+pack' END AS route FROM r"""
+    f"""WITH a AS (SELECT id, pos, lower(content) AS q FROM ({SQL_TURNS}) WHERE role = 'user'),
+one AS (SELECT chunk_id, arg_min(category, coalesce(text, '')) AS category, arg_min(unit_name, coalesce(text, '')) AS unit_name, min(text) AS text FROM {SQL_CHUNKS} GROUP BY chunk_id),
+units AS (SELECT DISTINCT unit_name AS name FROM one WHERE unit_name <> '' AND category IN {_UNIT_CATEGORIES}),
+core AS (SELECT token FROM (SELECT unnest(list_distinct({sql(SQL_TOKENS, 'text')})) AS token FROM one WHERE category = '{S.core_category}') GROUP BY token HAVING count(*) >= 3),
+own AS (SELECT token FROM (SELECT name, unnest(list_distinct({sql(SQL_TOKENS, 'name')})) AS token FROM units) GROUP BY token HAVING count(DISTINCT name) <= 40 AND len(token) >= 5 AND token NOT IN {SQL_STOP}),
+telling AS (SELECT token FROM own WHERE token NOT IN (SELECT token FROM core) AND {_SQL_STEM} NOT IN (SELECT {_SQL_STEM} FROM core)),
+named AS (SELECT DISTINCT a.id, a.pos FROM a JOIN units ON contains(name, ' ') AND contains(q, lower(name)) UNION SELECT DISTINCT id, pos FROM (SELECT id, pos, unnest(list_distinct({sql(SQL_TOKENS, 'q')})) AS token FROM a) JOIN telling USING (token)),
+f AS (SELECT a.id, a.pos, arg_min(name, (-len(name), name)) AS faction FROM a JOIN factions ON name <> '' AND contains(q, lower(name)) GROUP BY a.id, a.pos),
+r AS (SELECT a.id, a.pos, faction, ({_SQL_CORE}) AS core, named.id IS NOT NULL AS unit FROM a LEFT JOIN f ON f.id = a.id AND f.pos = a.pos LEFT JOIN named ON named.id = a.id AND named.pos = a.pos)
+SELECT id, pos, faction, true AS pack_on, CASE WHEN faction IS NOT NULL AND core THEN 'faction+core+pack' WHEN faction IS NOT NULL THEN 'faction+pack' WHEN unit THEN 'all' ELSE 'core+pack' END AS route FROM r
+UNION ALL SELECT id, pos, faction, false, CASE WHEN faction IS NOT NULL THEN 'faction' WHEN unit THEN 'all-pack' ELSE 'core' END FROM r"""
 )
 def route_truth_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The filter under which each user's question is searched."""
-    asked = turns(spark, folder).filter("role = 'user'").select("id", "pos", F.lower("content").alias("text"), F.struct("id", "pos").alias("qid"))
-    names = table(spark, folder, "factions").select(F.lower("name").alias("needle"), "name").filter("needle is not null")
-    hits = matching.substring_pairs(names, asked.select("qid", "text")).groupBy("qid").agg(F.min("name").alias("faction"))
-    rows = asked.join(hits, "qid", "left")
-    route = resolve.route(F.col("text"), F.col("faction"), F.col("text").contains(" pikes"), True, CORE_PHRASES, CORE_WORDS, "Muster Pack")
-    return rows.select("id", "pos", "faction", route.alias("route"))
+    """The filter under which each user's question is searched, with the pack on and off."""
+    asked = turns(spark, folder).filter("role = 'user'").select(F.struct("id", "pos").alias("qid"), F.col("content").alias("text"))
+    corpus = pipeline.Corpus(_chunks(spark, folder), table(spark, folder, "factions"))
+    chunks = settle(pipeline.numbered(corpus.chunks), "numbered")
+    both = [pipeline.routed(asked, corpus, chunks, on).select("qid.id", "qid.pos", "faction", F.lit(on).alias("pack_on"), "route") for on in (True, False)]
+    return both[0].unionByName(both[1])
 
 
 @query(f"SELECT chunk_id, category, army FROM {SQL_CHUNKS} WHERE category NOT IN ('Datasheet', 'Ability', 'Datasheet_Section', 'Army_Rule', 'Detachment_Rule') OR category IS NULL OR army IN ('The Foxjiand', 'Free Rasvu')")

@@ -68,12 +68,24 @@ CHUNKS = [
 def test_pipeline(spark, pack_on):
     chunks = spark.createDataFrame(CHUNKS, "chunk_id string, text string, category string, army string, unit_name string, breadcrumb string, section_group string, seq string")
     asked = spark.createDataFrame([(1, "Can the Old Guard use deep strike?"), (2, "unrelated words"), (3, None)], "qid bigint, text string")
-    rows = pipeline.build_context(asked, pipeline.Corpus(chunks), pack_on).orderBy("qid", "place").collect()
+    factions = spark.createDataFrame([("Red",), ("Blue",), (None,)], "name string")
+    corpus = pipeline.Corpus(chunks, factions, spark.createDataFrame([("core_1", "core_2")], "src string, dep string"))
+    rows = pipeline.build_context(asked, corpus, pack_on).orderBy("qid", "place").collect()
     ids = [r.chunk_id for r in rows if r.qid == 1]
-    assert {r.qid for r in rows} == {1} and ids[0] == "unit_1" and "core_1" in ids and ("pack_1" in ids) == pack_on
+    assert ids[0] == "unit_1" and "core_1" in ids and ("pack_1" in ids) == pack_on
     assert ids.index("core_2") == ids.index("core_1") + 1
-    bare = pipeline.build_context(asked, pipeline.Corpus(chunks), pack_on, reranker=None).filter("qid = 1").collect()
-    assert {r.chunk_id for r in bare} == set(ids)
+    assert not [r for r in rows if r.qid == 3] and (pack_on or not [r for r in rows if r.chunk_id == "pack_1"])
+    if pack_on:
+        bare = pipeline.build_context(asked, corpus, pack_on, pipeline.Models(reranker=None)).filter("qid = 1").collect()
+        assert {r.chunk_id for r in bare} == set(ids)
+
+
+def test_routes_of_questions(spark):
+    chunks = spark.createDataFrame(CHUNKS, "chunk_id string, text string, category string, army string, unit_name string, breadcrumb string, section_group string, seq string")
+    corpus = pipeline.Corpus(chunks, spark.createDataFrame([("Red",), ("Red Host",)], "name string"))
+    asked = spark.createDataFrame([(1, "Does the red host win?"), (2, "red victory points"), (3, "What do Old Guard do?"), (4, "hello"), (5, None)], "qid bigint, text string")
+    got = {r.qid: (r.faction, r.route) for r in pipeline.routed(asked, corpus, pipeline.numbered(chunks), True).collect()}
+    assert got == {1: ("Red Host", "faction+pack"), 2: ("Red", "faction+core+pack"), 3: (None, "all"), 4: (None, "core+pack"), 5: (None, "core+pack")}
 
 
 def test_scorers(spark):
