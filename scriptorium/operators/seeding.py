@@ -101,11 +101,13 @@ def _bridges(named: DataFrame, questions: DataFrame, texts: DataFrame, embedder:
 
 def definitions(questions: DataFrame, pool: DataFrame, chunks: DataFrame, edges: DataFrame, embedder: Embedder, pack_on: bool = True, s: Settings = SETTINGS) -> DataFrame:
     """``qid, stem, id, key, bridge, parent_keys`` of the definitions that the pool's rules refer to. ``pool``: qid, id, key, category,
-    breadcrumb, score; ``chunks``: id, chunk_id, category, breadcrumb, text; ``edges``: src, dep."""
+    breadcrumb, score; ``chunks``: id, chunk_id, category, breadcrumb, text; ``edges``: src, dep, and where stems are no names
+    ``pattern``, by which a text names the dep."""
     crumbs, payloads = rule_index(chunks, pack_on, s)
     active = pool.filter(is_rule(F.col("category"), pack_on, s) & (F.col("score") >= s.similarity_threshold))
     parents = join_small(active, crumbs, ["breadcrumb"]).select("qid", "id", "key", "stem", "score")
-    named = join_small(parents, edges.select(F.col("src").alias("stem"), "dep").distinct(), ["stem"]).select("qid", "id", "key", "dep", surface(F.col("dep")).alias("pattern"))
+    pattern = F.col("pattern") if "pattern" in edges.columns else surface(F.col("dep"))
+    named = join_small(parents, edges.select(F.col("src").alias("stem"), "dep", pattern.alias("pattern")).distinct(), ["stem"]).select("qid", "id", "key", "dep", "pattern")
     texts = chunks.select("id", "text").join(parents.select("id", "key").distinct(), "id").groupBy("key").agg(F.min("text").alias("text"))
     bridges = _bridges(named, questions, texts, embedder)
     return seed_definitions(parents, edges, payloads.select("stem", "id", "key"), bridges, pool, s)

@@ -24,11 +24,13 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _graph(chunks: DataFrame) -> DataFrame:
-    """``src, dep``: core rules that name other core rules, by stems."""
+    """``src, dep, pattern``: core rules that name other core rules, by stems, and how they name them."""
     rules_of = chunks.filter((F.col("category") == S.core_category) & F.col("text").startswith("# "))
     head = F.get(F.split("text", "\n"), F.lit(0))
     named = rules_of.select(seeding.stem_of(F.col("chunk_id")).alias("stem"), F.substring(head, F.lit(3), F.length(head)).alias("name"), F.substring("text", 1 + F.length(head), F.length("text")).alias("text"))
-    return settle(depgraph.name_edges(named), "graph")
+    words = F.trim(T.phrase_form(F.col("name")))
+    patterns = named.select(F.col("stem").alias("dep"), F.concat(F.lit("(?i)\\b"), F.regexp_replace(words, " ", r"[^a-z0-9]+"), F.lit("\\b")).alias("pattern"))
+    return settle(depgraph.name_edges(named).join(patterns, "dep"), "graph")
 
 
 def _corpus(spark: SparkSession, folder: str) -> tuple[pipeline.Corpus, DataFrame]:
