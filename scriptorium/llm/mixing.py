@@ -133,7 +133,8 @@ def find_thresholds(sized: DataFrame, plans: list[Plan], spec: MixSpec) -> None:
 
 @dataclass
 class Mixture:
-    """``documents``: doc_id, source, tokens, copies (at least 1). ``report``: one row per wanted source."""
+    """``documents``: doc_id, source, tokens, copies (at least 1). ``report``: one row per wanted source; ``scaled_target`` is its target's
+    share among the sources that have documents, which the actual share should meet."""
 
     documents: DataFrame
     report: DataFrame
@@ -161,8 +162,10 @@ def mix(documents: DataFrame, targets: DataFrame, spec: MixSpec = MixSpec()) ->
     chosen = planned.select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).filter("copies > 0")
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("documents"), F.max("copies").alias("most_copies"))
     total = used.agg(F.sum("tokens").alias("all_tokens"))
-    report = table.join(used, "source", "left").crossJoin(F.broadcast(total)).select(
-        "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.nullif("all_tokens", F.lit(0))).alias("actual_share"), "max_repeats",
+    filled = table.agg(F.sum(F.when(F.col("available_tokens") > 0, F.col("target_share"))).alias("filled"))
+    scaled = F.when(F.col("available_tokens") > 0, F.col("target_share") / F.nullif("filled", F.lit(0.0))).otherwise(0.0)
+    report = table.join(used, "source", "left").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(filled)).select(
+        "source", "target_share", scaled.alias("scaled_target"), (F.coalesce("tokens", F.lit(0)) / F.nullif("all_tokens", F.lit(0))).alias("actual_share"), "max_repeats",
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"),
         F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), "available_tokens",
     )

@@ -21,7 +21,7 @@ def test_mixture_meets_shares(spark):
     report = {r.source: r for r in mixture.report.collect()}
     largest = 3001 / sum(r.tokens for r in report.values())
     for name, share in (("big", 0.5), ("small", 0.3), ("tiny", 0.15)):
-        assert abs(report[name].actual_share - share / 0.95) <= largest and report[name].most_copies <= report[name].max_repeats
+        assert abs(report[name].scaled_target - share / 0.95) < 1e-9 and abs(report[name].actual_share - share / 0.95) <= largest and report[name].most_copies <= report[name].max_repeats
     assert report["none"].actual_share == 0.0 and abs(sum(r.actual_share for r in report.values()) - 1) < 1e-9
     rows = mixture.documents.collect()
     assert len({r.doc_id for r in rows}) == len(rows) and sum(r.tokens * r.copies for r in rows if r.source == "small") == report["small"].tokens
