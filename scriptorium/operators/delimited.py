@@ -100,7 +100,7 @@ def _split(line: str, separator: str) -> list[str]:
     return [_unquote(m.group(1)) for m in re.finditer(rf'(?:^|{s})("(?:[^"]|"")*+"(?={s}|\Z)|[^{s}]*)', line)]
 
 
-def parse_records(raw: pa.Array, header: str | None, spec: DelimitedSpec) -> tuple[list[str | None], list[str | None], list[dict[str, str] | None]]:
+def parse_records(raw: pa.Array, header: str | None, spec: DelimitedSpec, with_fields: bool = True) -> tuple[list[str | None], list[str | None], list[dict[str, str] | None]]:
     """For each non-blank record of one batch layout: the reason of its rejection, the failing column, and its fields
     (None for structural rejects). A batch without a header names no column, so its records fail by column count."""
     n = len(raw)
@@ -154,11 +154,13 @@ def parse_records(raw: pa.Array, header: str | None, spec: DelimitedSpec) -> tup
             else:
                 passed = pa.array([False] * len(good))
             bad = pc.if_else(pc.and_(pc.is_null(bad), pc.invert(passed)), name, bad)
-        cells = {name: values.to_pylist() for name, values in data.items()}
-        for k, (i, column) in enumerate(zip(good, bad.to_pylist())):
-            fields[i] = {name: values[k] for name, values in cells.items()}
+        for i, column in zip(good, bad.to_pylist()):
             if column is not None:
                 reasons[i], columns[i] = INVALID_VALUE, column
+        if with_fields:
+            cells = [values.to_pylist() for values in data.values()]
+            for i, row in zip(good, zip(*cells)):
+                fields[i] = dict(zip(data, row))
     return reasons, columns, fields
 
 
@@ -189,8 +191,8 @@ def parse_delivered(records: DataFrame, spec: DelimitedSpec, with_fields: bool =
             for code in pc.unique(codes).to_pylist():
                 part = table.filter(pc.equal(codes, code))
                 header = layouts.dictionary[code].as_py() if code >= 0 else None
-                reasons, columns, fields = parse_records(part["raw"].combine_chunks(), header, spec)
-                maps = [None if f is None or not with_fields else list(f.items()) for f in fields]
+                reasons, columns, fields = parse_records(part["raw"].combine_chunks(), header, spec, with_fields)
+                maps = [None if f is None else list(f.items()) for f in fields]
                 yield pa.RecordBatch.from_arrays(
                     [part[c].combine_chunks() for c in ("line_id", "batch_no", "line_no")]
                     + [pa.array(reasons, pa.string()), pa.array(columns, pa.string()), pa.array(maps, pa.map_(pa.string(), pa.string()))],
