@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -20,6 +21,23 @@ class Embedder(Protocol):
         """An array of floats."""
 
 
+class ChatModel(Protocol):
+    def answer(self, messages: list[dict[str, str]]) -> str:
+        """The reply to a conversation; raises ``Refused`` if it is too long or the provider is busy."""
+
+
+class Refused(RuntimeError):
+    pass
+
+
+def answer_or_retry(model: ChatModel, full: Callable[[], list[dict[str, str]]], reduced: Callable[[], list[dict[str, str]]]) -> str:
+    """Ask with the whole context; if the model refuses, once more with the reduced one."""
+    try:
+        return model.answer(full())
+    except Refused:
+        return model.answer(reduced())
+
+
 class CoverageReranker:
     """Share of the question's content terms that the text has, spread so that none gives -4 and all give 4."""
 
