@@ -25,18 +25,18 @@ def is_rule(category: Column, pack_on: bool, s: Settings = SETTINGS) -> Column:
     return F.coalesce(category.isin(*rule_categories(pack_on, s)), F.lit(False))
 
 
-def title_and_detachment(text: Column) -> tuple[Column, Column]:
-    """The rule's name by its first line and the detachment by its first three, lower-cased, empty where there is none."""
+def title_and_detachment(text: Column, title: str = RULE_TITLE) -> tuple[Column, Column]:
+    """The rule's name by its first line (group 1 of the pattern) and the detachment by its first three, lower-cased, empty where there is none."""
     lines = F.split(F.coalesce(text, F.lit("")), T.LINE_END)
-    title = F.regexp_extract(F.get(lines, F.lit(0)), RULE_TITLE, 1)
+    name = F.regexp_extract(F.get(lines, F.lit(0)), title, 1)
     found = F.filter(F.transform(F.slice(lines, 1, 3), lambda x: F.regexp_extract(x, RULE_DETACHMENT, 1)), lambda x: x != "")
-    return F.trim(F.lower(title)), F.trim(F.lower(F.coalesce(F.get(found, F.lit(0)), F.lit(""))))
+    return F.trim(F.lower(name)), F.trim(F.lower(F.coalesce(F.get(found, F.lit(0)), F.lit(""))))
 
 
-def named_rules(questions: DataFrame, chunks: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+def named_rules(questions: DataFrame, chunks: DataFrame, s: Settings = SETTINGS, pattern: str = RULE_TITLE) -> DataFrame:
     """``qid, id`` of the army and detachment rules whose name (of four characters at least) or detachment (of five) the question holds.
-    ``chunks``: id, category, text."""
-    title, detachment = title_and_detachment(F.col("text"))
+    ``chunks``: id, category, text; ``pattern``: of the first line, its group 1 being the name."""
+    title, detachment = title_and_detachment(F.col("text"), pattern)
     index = chunks.filter(F.col("category").isin(*s.rule_categories)).select("id", F.explode(F.array(F.struct(title.alias("needle"), F.lit(4).alias("least")), F.struct(detachment.alias("needle"), F.lit(5).alias("least")))).alias("n"))
     needles = index.select("id", "n.needle", "n.least").filter(F.length("needle") >= F.col("least")).select("id", "needle")
     return substring_pairs(needles, questions.select("qid", F.lower("text").alias("text"))).select("qid", "id").distinct()

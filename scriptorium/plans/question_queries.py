@@ -58,7 +58,7 @@ def rules_slice(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH one AS (SELECT chunk_id, arg_min(category, coalesce(text, '')) AS category, min(text) AS text FROM {SQL_CHUNKS} GROUP BY chunk_id),
 r AS (SELECT chunk_id, text, string_split(text, chr(10)) AS l FROM one WHERE category IN ('Army_Rule', 'Detachment_Rule') AND text IS NOT NULL),
-n AS (SELECT chunk_id, lower(trim(regexp_extract(l[1], '^#\\s*(?:Army|Detachment)\\s+Rule:\\s*(.+?)\\s*$', 1))) AS needle, 4 AS least FROM r
+n AS (SELECT chunk_id, lower(trim(regexp_extract(l[1], '^#\\s*(?:(?:Army|Detachment)\\s+Rule:\\s*)?(.+?)\\s*$', 1))) AS needle, 4 AS least FROM r
   UNION ALL SELECT chunk_id, lower(trim(coalesce([x for x in [regexp_extract(y, '\\*\\*Detachment:\\*\\*\\s*([^|]+)', 1) for y in l[:3]] if x <> ''][1], ''))), 5 FROM r),
 q AS (SELECT DISTINCT content FROM ({SQL_TURNS}) WHERE role = 'user' AND content IS NOT NULL)
 SELECT DISTINCT content AS text, chunk_id FROM q JOIN n ON len(needle) >= least AND contains(lower(content), needle)"""
@@ -66,7 +66,8 @@ SELECT DISTINCT content AS text, chunk_id FROM q JOIN n ON len(needle) >= least
 def named_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Army and detachment rules that users' questions name."""
     asked, chunks = _questions(spark, folder), settle(pipeline.numbered(_chunks(spark, folder)), "numbered")
-    found = rules.named_rules(asked, chunks.select("id", "category", "text"))
+    # The titles of this corpus have no prefix.
+    found = rules.named_rules(asked, chunks.select("id", "category", "text"), pattern=r"^#\s*(?:(?:Army|Detachment)\s+Rule:\s*)?(.+?)\s*$")
     return found.join(asked, "qid").join(chunks.select("id", "chunk_id"), "id").select("text", "chunk_id")
 
 
