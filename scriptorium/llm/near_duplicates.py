@@ -251,7 +251,8 @@ def near_duplicates(rows: DataFrame, spec: NearDuplicateSpec) -> NearDuplicates:
     signed = settle(signatures(rows, spec), "signatures")
     members = signed.select("id", "part", "node").distinct()
     classes = settle(signed.groupBy("node").agg(*(F.min(c).alias(c) for c in ("part", "signature", "body_key", "s0", "s1"))), "classes")
-    cells, likely = settle(cells_of(classes, spec), "cells"), None
+    # The first cells are cheaper to derive again than to write and read.
+    cells, likely = cells_of(classes, spec), None
     pair = (F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     for turn in range(spec.rounds + 1):
         stars, edges = star_edges(cells, classes, spec)
