@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions.text import bind
-from scriptorium.session import rows_within, settle
+from scriptorium.session import fits_broadcast, settle
+
+try:
+    import ahocorasick
+except ModuleNotFoundError:  # then all needles go the way of many
+    ahocorasick = None
 
 GRAM = 3
-#: Needles up to so many are sent to all executors.
-MAX_BROADCAST = 100_000
+#: Needles are searched in blocks of about so many characters, each in one pass over the texts; beyond so many blocks by their rarest runs.
+BLOCK_CHARS, MAX_BLOCKS = 4 << 20, 8
 
 
 def grams(text: Column, size: int) -> Column:
@@ -21,15 +31,67 @@ def grams(text: Column, size: int) -> Column:
     return F.array_distinct(bind(F.filter(F.split(text, ""), lambda c: c != ""), runs))
 
 
-def substring_pairs(needles: DataFrame, texts: DataFrame, needle: str = "needle", text: str = "text") -> DataFrame:
-    """All (needle row, text row) pairs in which the needle occurs in the text, as an equi-join: each distinct needle is looked
-    up under its rarest run of three characters, then tested. Null and empty needles match nothing. Other columns must
-    not share names.
+def substring_pairs(needles: DataFrame, texts: DataFrame, needle: str = "needle", text: str = "text", block_chars: int = BLOCK_CHARS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """All (needle row, text row) pairs in which the needle occurs in the text. Null and empty needles match nothing, null texts hold
+    nothing. Other columns must not share names.
 
-    Few candidates fail the test, as the rarest run is met by few texts; a text is read once per run that is some
-    needle's rarest, not once per needle.
+    The distinct needles form automata, one per block of ``block_chars`` characters, and each block reads the texts once, without a
+    shuffle. Beyond ``max_blocks`` blocks every needle is looked up under its rarest run of three characters by an equi-join, then tested.
     """
-    words = needles.select(F.col(needle).alias("__n")).filter(F.length("__n") > 0).distinct()
+    words = settle(needles.select(F.col(needle).alias("__n")).filter(F.length("__n") > 0).distinct(), "needles")
+    chars = words.agg(F.sum(F.length("__n") + 8)).first()[0] or 0
+    blocks = max(1, math.ceil(chars / block_chars))
+    found = _by_automata(words, texts, text, blocks) if ahocorasick and blocks <= max_blocks else _by_rarest_run(words, texts, text)
+    named = needles.filter(F.length(needle) > 0)
+    named = F.broadcast(named) if fits_broadcast(named) else named
+    return found.join(named, F.col("__n") == F.col(needle)).drop("__n")
+
+
+_AUTOMATA: dict[int, object] = {}
+
+
+def _automaton(number: int, words: list[str]):
+    """Built once per worker; a worker keeps the last few."""
+    if number not in _AUTOMATA:
+        while len(_AUTOMATA) > 3:
+            _AUTOMATA.pop(next(iter(_AUTOMATA)))
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        _AUTOMATA[number] = automaton
+    return _AUTOMATA[number]
+
+
+def _by_automata(words: DataFrame, texts: DataFrame, text: str, blocks: int) -> DataFrame:
+    spark = texts.sparkSession
+    schema = T.StructType([*texts.schema.fields, T.StructField("__n", T.StringType())])
+    result = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        part = words if blocks == 1 else words.filter(F.pmod(F.xxhash64("__n"), F.lit(blocks)) == block)
+        sent = spark.sparkContext.broadcast([r[0] for r in part.collect()])
+        if not sent.value:
+            continue
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, number=sent._jbroadcast.id()) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(number, sent.value)
+            for batch in batches:
+                rows, hits = [], []
+                for row, value in enumerate(batch.column(text).to_pylist()):
+                    if value:
+                        own = {word for _, word in automaton.iter(value)}
+                        rows += [row] * len(own)
+                        hits += own
+                if rows:
+                    taken = batch.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(hits, pa.string())], [*batch.schema.names, "__n"])
+
+        result = result.unionByName(texts.mapInArrow(search, schema))
+    return result
+
+
+def _by_rarest_run(words: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """Few candidates fail the test, as the rarest run is met by few texts; numbers of texts are shuffled instead of texts."""
     sizes = sorted(r[0] for r in words.select(F.least(F.lit(GRAM), F.length("__n")).alias("s")).distinct().collect())
     own = F.array().cast("array<string>")
     for k in sizes:
@@ -38,15 +100,9 @@ def substring_pairs(needles: DataFrame, texts: DataFrame, needle: str = "needle"
     common = runs.groupBy("__g").agg(F.count("*").alias("__c"))
     rarest = runs.join(common, "__g").groupBy("__n").agg(F.min_by("__g", F.struct("__c", "__g")).alias("__g"))
     every = F.concat(F.array().cast("array<string>"), *[grams(F.col(text), k) for k in sizes])
-    if rows_within(rarest, MAX_BROADCAST):
-        near = texts.withColumn("__g", F.explode(every)).join(F.broadcast(rarest), "__g").drop("__g")
-    else:  # many needles: shuffle numbers of texts instead of texts
-        numbered = settle(texts.withColumn("__id", F.monotonically_increasing_id()), "texts")
-        pairs = numbered.select("__id", F.explode(every).alias("__g")).join(rarest, "__g").select("__id", "__n").distinct()
-        near = numbered.join(pairs, "__id").drop("__id")
-    found = near.filter(F.contains(F.col(text), F.col("__n")))
-    named = needles.filter(F.length(needle) > 0)
-    return found.join(named, F.col("__n") == F.col(needle)).drop("__n")
+    numbered = settle(texts.withColumn("__id", F.monotonically_increasing_id()), "texts")
+    pairs = numbered.select("__id", F.explode(every).alias("__g")).join(rarest, "__g").select("__id", "__n").distinct()
+    return numbered.join(pairs, "__id").drop("__id").filter(F.contains(F.col(text), F.col("__n")))
 
 
 def maximal_hits(hits: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,7 +158,8 @@ def test_every_delivery_counts(spark, tmp_path):
 
     deliveries = {1: "abcde", 2: "abcdf", 3: "af", 5: "ag"}  # from 2 to 3 more than the limit is gone; 4 is empty
     rows = [(n, c, f"{c}{n // 3}") for n, cs in deliveries.items() for c in cs] + [(1, None, "x"), (2, None, "x"), (None, "z", "z")]
-    spark.createDataFrame(rows, "snapshot_no int, chunk_id string, text string").write.parquet(str(tmp_path / "chunk_snapshots.parquet"))
+    rows = [(*r, datetime(2024, 1, 2)) for r in rows] + [(5, "g", "zz", datetime(2024, 1, 1))]  # an outdated version, delivered earlier
+    spark.createDataFrame(rows, "snapshot_no int, chunk_id string, text string, delivered_at timestamp").write.parquet(str(tmp_path / "chunk_snapshots.parquet"))
     got = {name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("manifest_diff_each", "reconcile_each", "upsert_all")}
     actions = {2: {"skipped": "abcd", "removed": "e", "written": "f"}, 3: {"written": "af", "removed": "bcd"}, 4: {"removed": "af"}, 5: {"written": "ag"}}
     want = {(n, c, a) for n, by in actions.items() for a, cs in by.items() for c in cs}

@@ -16,11 +16,9 @@ def test_substring_pairs_against_brute_force(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "b int, text string")
     want = {(i, j) for i, x in enumerate(needles) for j, y in enumerate(texts) if x and y is not None and x in y}
     assert {(r.a, r.b) for r in M.substring_pairs(n, t).collect()} == want
-    bound, M.MAX_BROADCAST = M.MAX_BROADCAST, 1
-    try:
-        assert {(r.a, r.b) for r in M.substring_pairs(n, t).collect()} == want
-    finally:
-        M.MAX_BROADCAST = bound
+    for ways in ({"block_chars": 100}, {"max_blocks": 0}):  # several automata, and none
+        assert {(r.a, r.b) for r in M.substring_pairs(n, t, **ways).collect()} == want
+    assert M.substring_pairs(n.limit(0), t).count() == 0 and M.substring_pairs(n, t.limit(0)).count() == 0
 
 
 def test_maximal_hits(spark):
