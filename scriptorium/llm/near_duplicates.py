@@ -217,19 +217,16 @@ def verified(pairs: DataFrame, bodies: DataFrame, spec: NearDuplicateSpec) -> Da
 @dataclass
 class NearDuplicates:
     """``members``: id, part, node (one row per id and class). ``groups``: node, component of the classes with a similar
-    other class. ``links``: a, b, similarity of verified star edges, which span the groups."""
+    other class. ``links``: a, b, similarity of verified star edges, which span the groups. ``bodies``: node, body of all classes that
+    had a likely partner, those of the groups among them."""
 
     members: DataFrame
     groups: DataFrame
     links: DataFrame
     classes: DataFrame
-    rows: DataFrame
+    bodies: DataFrame
     spec: NearDuplicateSpec
 
-    def bodies(self, nodes: DataFrame) -> DataFrame:
-        """``node, body`` of the given distinct ``node`` rows, read again from the source."""
-        return _bodies(self.rows, self.classes, nodes)
-
     def pairs(self) -> DataFrame:
         """All similar pairs ``a, b, similarity`` of classes of one group."""
         return _pairs_within(self)
@@ -275,9 +272,8 @@ def near_duplicates(rows: DataFrame, spec: NearDuplicateSpec) -> NearDuplicates:
     likely = settle(likely.distinct(), "likely")
     bodies = settle(_bodies(rows, classes, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "bodies")
     links = settle(verified(likely, bodies, spec), "verified")
-    release(bodies)
     groups = settle(components(links, "a", "b"), "groups")
-    return NearDuplicates(members, groups, links, classes, rows, spec)
+    return NearDuplicates(members, groups, links, classes, bodies, spec)
 
 
 def _pairs_within(found: NearDuplicates) -> DataFrame:
@@ -287,7 +283,7 @@ def _pairs_within(found: NearDuplicates) -> DataFrame:
     few = groups.join(sizes.filter(F.col("n") <= spec.small_group).select("component"), "component")
     left, right = few.select("component", F.col("node").alias("a")), few.select("component", F.col("node").alias("b"))
     pairs = left.join(right, "component").filter("a < b").select("a", "b")
-    bodies = settle(found.bodies(groups.select("node")), "group_bodies")
+    bodies = found.bodies
     if not rows_within(large, 0):
         many = groups.join(large, "component")
         pairs = pairs.unionByName(_prefix_pairs(many.join(bodies, "node"), spec))
