@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import SETTINGS as S
 from scriptorium.functions import text as T
-from scriptorium.operators import audit, blocks, chunking, depgraph, incremental, matching, resolve
+from scriptorium.operators import audit, blocks, chunking, depgraph, incremental, matching, name_graph, resolve
 from scriptorium.plans import pipeline
 from scriptorium.plans.registry import query
 from scriptorium.plans.text_queries import SQL_KEY, SQL_STOP, SQL_TOKENS, SQL_TURNS, sql, turns
@@ -174,7 +174,7 @@ def depgraph_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {SQL_RULES} SELECT src, dep FROM edges UNION SELECT a.src, b.dep FROM edges a JOIN edges b ON a.dep = b.src WHERE a.src <> b.dep")
 def depgraph_one_hop(spark: SparkSession, folder: str) -> DataFrame:
-    return depgraph.with_one_hop(settle(depgraph.name_edges(_rules(spark, folder)), "edges"))
+    return name_graph.one_hop(name_graph.name_graph(_rules(spark, folder)))
 
 
 @query(
