@@ -34,7 +34,11 @@ def parse_graph(json_text: str, spark) -> DataFrame:
 def edge_scores(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: precision, recall, f1 of edges; 1.0 where nothing could be wrong or missed."""
     both = found.select("src", "dep", F.lit(1).alias("f")).join(truth.select("src", "dep", F.lit(1).alias("t")), ["src", "dep"], "full_outer")
-    n = both.agg(F.count("f").alias("found"), F.count("t").alias("true"), F.count(F.when(F.col("f") == F.col("t"), 1)).alias("hit"))
+    return scores(both.agg(F.count("f").alias("found"), F.count("t").alias("true"), F.count(F.when(F.col("f") == F.col("t"), 1)).alias("hit")))
+
+
+def scores(n: DataFrame) -> DataFrame:
+    """The same from the counts found, true and hit."""
     precision = F.when(F.col("found") == 0, 1.0).otherwise(F.try_divide("hit", "found"))
     recall = F.when(F.col("true") == 0, 1.0).otherwise(F.try_divide("hit", "true"))
     out = n.select("found", "true", "hit", precision.alias("precision"), recall.alias("recall"))

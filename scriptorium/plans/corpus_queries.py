@@ -185,8 +185,7 @@ CASE WHEN found + "true" = 0 THEN 1.0 WHEN hit = 0 THEN 0.0 ELSE 2 * (hit / foun
 )
 def depgraph_prf(spark: SparkSession, folder: str) -> DataFrame:
     """Precision and recall of the widened graph against the plain one."""
-    edges = settle(depgraph.name_edges(_rules(spark, folder)), "edges")
-    return depgraph.edge_scores(depgraph.with_one_hop(edges), edges)
+    return name_graph.one_hop_scores(name_graph.name_graph(_rules(spark, folder)))
 
 
 _UNIT_CATEGORIES = "('" + "', '".join(S.unit_categories) + "')"
