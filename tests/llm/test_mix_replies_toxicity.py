@@ -2,6 +2,9 @@
 
 import json
 import random
+import re
+import time
+import unicodedata
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -107,6 +110,53 @@ def test_undisguise():
     assert X.undisguise("café​ 12 3x") == "cafe 12 3x" and X.undisguise(None) == ""
 
 
+# The disguises and ends of passages as patterns, which decide what the scan of code points must find.
+SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*·]{1,2}[^\W\d_](?![^\W_])){2,}")
+LEET_WORD = re.compile(r"[013457@$!€|](?:(?<=[^\W\d_].)[013457@$!€|]*(?=[^\W\d_])|(?<=[@$])(?<![^\W_].)(?=[^\W\d_]{2}))")
+ENDS = re.compile(r"[.!?…;]+(?=\s|$)|\n")
+
+
+def undisguised_by_patterns(text):
+    t = (text or "").lower()
+    if not t.isascii():
+        t = re.sub("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]", "", t)
+        t = re.sub("[^\x00-\x7f]+", lambda m: "".join(c for c in m.group() if not unicodedata.combining(c)), unicodedata.normalize("NFKD", t))
+    t = SPACED.sub(lambda m: re.sub(r"[\W_]", "", m.group()), t)
+    return LEET_WORD.sub(lambda m: "".join(X.LEET[c] for c in m.group()), t)
+
+
+def test_scan_finds_what_the_patterns_do():
+    rng, signs = random.Random(4), "ab e I1 0@$!|€.*-_·;…?\n\t éñ\u0301\u200b\u00ad²٣ⅷΣσﬁ中\x1c3457xY"
+    texts = ["".join(rng.choice(signs[: rng.choice([6, 14, len(signs)])]) for _ in range(rng.randrange(50))) for _ in range(4000)]
+    plain = [undisguised_by_patterns(t) for t in texts]
+    assert [X.undisguise(t) for t in texts] == plain
+    # All at once as one by one, cut where the patterns cut.
+    points, _, offsets = X.plain_points([*texts, None])
+    assert X._string(points) == "\n".join([*plain, ""]) and offsets.tolist()[:-1] == np.cumsum([0] + [len(t) + 1 for t in plain]).tolist()
+    got, parts = X.Passages(texts, 15), [[p for p in ENDS.split(t) if any(c.isalpha() for c in p)] for t in plain]
+    assert np.diff(got.texts).tolist() == [len(p) for p in parts] and all(got.string(i) in p for i, p in enumerate(sum(parts, [])))
+    chars = [chr(i) for i in range(0x110000)]
+    for bit, pattern in ((X._WORD, r"[^\W_]"), (X._LETTER, r"[^\W\d_]"), (X._SPACE, r"\s")):
+        assert np.flatnonzero(X._kinds() & bit).tolist() == [i for i, c in enumerate(chars) if re.match(pattern, c)]
+    assert np.flatnonzero(X._kinds() & X._ALPHA).tolist() == [i for i, c in enumerate(chars) if c.isalpha()]
+    assert np.flatnonzero(X._kinds() & X._MARK).tolist() == [i for i, c in enumerate(chars) if unicodedata.combining(c)]
+
+
+def test_features_cost_less_than_the_patterns(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+
+    def least(work):
+        seconds = []
+        for _ in range(5):
+            began = time.process_time()
+            work()
+            seconds.append(time.process_time() - began)
+        return min(seconds)
+
+    features = least(lambda: [X.Passages(texts[i : i + 180], 18) for i in range(0, len(texts), 180)])
+    assert features < least(lambda: [sum(1 for _ in ENDS.finditer(undisguised_by_patterns(t))) for t in texts])
+
+
 def test_scores_of_tables(spark):
     rng = random.Random(7)
     docs = [(i, t, rng.choice([" Forum", "forum", None]), y) for i, (t, y) in enumerate(corpus(rng, 300, 0.3))] + [(900, None, "forum", False), (901, "", "forum", False), (902, "calm word " * 50_000, "faq", False)]
